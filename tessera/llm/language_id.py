@@ -23,7 +23,7 @@ from tessera.llm.common import drop_clashing, text_slices
 
 UNDETERMINED = "und"
 #: A phrase never crosses the border of such a stretch, so that long texts advance in parallel.
-LANE_BYTES = 1024
+LANE_BYTES = 512
 #: Entries of all languages' tables together; with more languages each has a smaller sample.
 TABLE_ENTRIES = 64_000_000
 _FLAG = np.int32(1 << 30)
