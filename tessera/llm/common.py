@@ -167,9 +167,9 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return words
     if n < width:
-        total = np.uint64(n)
-        for w in words:
-            total = (total * np.uint64(BASE)) + w
+        total = n
+        for w in words.tolist():
+            total = (total * BASE + w) % (1 << 64)
         return mix(np.array([total], np.uint64))
     total = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
