@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, minhash_dedup, mixing, packing, pii, secrets
+from tessera.llm import language_id, minhash_dedup, mixing, packing, pii, quality, secrets
 from tessera.llm.common import crc_bucket
 
 
@@ -39,6 +39,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.measured(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
