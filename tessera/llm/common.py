@@ -34,7 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+    if at.startswith("file:/") and not at.startswith("file://"):
+        at = at.removeprefix("file:")
+    return at if "://" in at else f"file://{at}"
+
+
+def opened(uri: str, mode: str):
+    """A stream in the shared folder, from a driver or executor; mode "rb", "wb" or "map" (random access)."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if mode == "wb":
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(path, compression=None)
+    return system.open_input_stream(path, compression=None) if mode == "rb" else system.open_input_file(path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

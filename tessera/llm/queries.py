@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, minhash_dedup, mixing, packing, pii, quality, secrets
+from tessera.llm import language_id, minhash_dedup, mixing, packing, pii, quality, secrets, warc
 from tessera.llm.common import crc_bucket
 
 
@@ -52,9 +52,22 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.index(warc.read(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")), data=False))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+OP9_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to
+FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
+             AND page_id < max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers
+      FROM pages)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
