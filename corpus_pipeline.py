@@ -1,9 +1,66 @@
-"""The corpus pipeline: whole documents through language ID, near-dedup, secret redaction, mixing and packing."""
+"""The corpus pipeline: documents through language ID, near-dedup, secret redaction, source mixing and packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it to the shared folder and rereads it as the
+next stage's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, minhash_dedup, mixing, packing, secrets
+from tessera.llm.common import stage
+from tessera.llm.queries import documents, tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without text or a letter go."""
+    found = language_id.identify(docs.select(*COLUMNS), language_id.fit(docs))
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near copies, once; rows without doc_id stay."""
+    groups = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
+    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    found = secrets.scan(docs, keep=list(COLUMNS))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them: not at all, once or twice."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_dedup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: SQL expresses neither the trained language model nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents."""
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return docs
