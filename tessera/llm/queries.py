@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, pii, quality, secrets, warc
+from tessera.llm import embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality, secrets, warc
 from tessera.llm.common import crc_bucket
 
 
@@ -60,6 +60,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(warc.read(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")), data=False))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    trie = lm_scoring.train(docs.where(crc_bucket("doc_id", 10) != 0))
+    found = lm_scoring.score(docs, trie)
+    return found.select("doc_id", (crc_bucket("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
