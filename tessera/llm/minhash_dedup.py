@@ -7,8 +7,9 @@ DEPTH.  Nodes are then compared exhaustively: entities whose signatures agree en
 are candidates, and every candidate link is confirmed on the full shingle sets.
 
 Links need not all be listed to find components, so this goes in two steps.  Each entity of a node is
-first held against the node's leaders, which yields few pairs however large a group of copies
-is.  Then every pair that is still in different components is compared.  Nodes beyond
+first tied to the one that resembles it most, which yields few pairs however large a group of copies
+is and finds the original that its copies resemble more than each other.  Then every pair that is still in different
+components is compared.  Nodes beyond
 BLOCK entities are compared block by block, so that a task holds two blocks at most and no pair is lost.
 
 A pair at the least similarity misses one tree with a chance under 0.4 (deep nodes) or 0.19 (first level), and
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, stage, text_slices, word_spans
 from tessera.llm.components import components
 
-WIDTH, TREES, COORDS, LEAF, DEPTH, BLOCK = 5, 12, 64, 256, 4, 1024
-#: Least share of agreeing coordinates of a candidate at similarity 0.75: 4.6 standard deviations below.
-AGREE = 32
+WIDTH, TREES, COORDS, LEAF, DEPTH, BLOCK = 5, 12, 32, 256, 4, 1024
+#: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate agrees in at least
+#: AGREE of the ranges that either fills: over four standard deviations below the similarity.
+BINS, AGREE = 512, 0.67
 _RNG = np.random.Generator(np.random.PCG64(8))
 _MUL = _RNG.integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, COORDS, dtype=np.uint64)
@@ -54,13 +56,30 @@ def _identity(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise values of non-empty sets."""
+    """Minwise values of non-empty sets, then their sketches, as bytes."""
     flat = np.concatenate(sets)
     begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
     out = np.empty((len(sets), COORDS), np.uint32)
     for k in range(COORDS):
         out[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), begin)
-    return out
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bins = (flat >> np.uint64(55)).astype(np.int64)
+    least = np.concatenate([[True], (bins[1:] != bins[:-1]) | (owner[1:] != owner[:-1])])  # sets are sorted
+    sketch = np.zeros((len(sets), BINS), np.uint8)
+    sketch[owner[least], bins[least]] = (flat[least] >> np.uint64(40)) % np.uint64(15) + np.uint64(1)
+    return np.concatenate([out.view(np.uint8), sketch[:, ::2] | sketch[:, 1::2] << 4], axis=1)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of agreeing ranges of each pair of sketches."""
+    if len(a) * len(b) <= 4096:
+        same = ((a[:, None, :] == b[None, :, :]) & (a > 0)[:, None, :]).sum(2)
+    else:
+        same = np.zeros((len(a), len(b)), np.uint16)
+        for k in range(BINS):
+            same += (a[:, k][:, None] == b[:, k][None, :]) & (a[:, k] > 0)[:, None]
+    fa, fb = (a > 0).astype(np.float32), (b > 0).astype(np.float32)
+    return same / (fa.sum(1)[:, None] + fb.sum(1)[None, :] - fa @ fb.T)
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -92,9 +111,18 @@ def _children(sig: np.ndarray, path: np.ndarray, level: int) -> tuple[np.ndarray
     return picked, mix(path[picked] ^ mix(sig[picked, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(33)) + np.uint64(1 << 40)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _bytes(column: pa.Array) -> np.ndarray:
     data, offsets = arrow_bytes(column)
-    return np.frombuffer(data.tobytes(), np.uint32).reshape(len(offsets) - 1, COORDS)
+    return data.reshape(len(offsets) - 1, 4 * COORDS + BINS // 2)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    packed = _bytes(column)[:, 4 * COORDS :]
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_bytes(column)[:, : 4 * COORDS]).view(np.uint32)
 
 
 def _roots(reps: DataFrame) -> DataFrame:
@@ -138,12 +166,12 @@ def nodes(reps: DataFrame) -> DataFrame:
 
 
 def _grouped(batches, width: int):
-    """The rows of each run of equal first columns, as numpy columns; runs may cross batches."""
+    """The rows of each run of equal first columns, as numpy columns, the last the sketches; runs may cross batches."""
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)] + [_matrix(batch.column(width))]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)] + [_sketches(batch.column(width))]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [batch.num_rows]])
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             piece = tuple(c[lo:hi] for c in cols)
@@ -179,26 +207,21 @@ def _flushed(found, size: int = 50_000):
         yield _pairs_out(a, b)
 
 
-def leader_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): each entity with the first leader of its node (a block of it, if large) that it agrees with; none leads anew."""
+def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each entity with the one of its node (a block of it, if large) that it agrees with most, if enough."""
     salt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / BLOCK))
     rows = live.select(F.xxhash64("node", salt).alias("unit"), "sid").join(reps.select("sid", "n", "sig"), "sid")
     rows = rows.select("unit", "sid", "n", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
-        for _, sid, n, sig in _grouped(batches, 3):
-            if len(sid) == 2:
-                if (sig[0] == sig[1]).sum() >= AGREE and _similar_sizes(n[0], n[1]) and sid[0] != sid[1]:
-                    yield sid[:1], sid[1:]
-                continue
-            left = np.arange(len(sid))
-            while len(left) > 1:  # the first left leads; those that agree with it are done
-                rest = left[1:]
-                near = ((sig[rest] == sig[left[0]]).sum(1) >= AGREE) & _similar_sizes(n[rest], n[left[0]])
-                own = sid[rest[near]]
-                if len(own):
-                    yield np.full(len(own), sid[left[0]]), own
-                left = rest[~near]
+        for _, sid, n, sketch in _grouped(batches, 3):
+            for lo in range(0, len(sid), BLOCK):
+                part = slice(lo, lo + BLOCK)
+                share = np.where(_similar_sizes(n[part, None], n[None, :]) & (sid[part, None] != sid[None, :]), agreement(sketch[part], sketch), 0)
+                best = share.argmax(1)
+                good = np.flatnonzero(share[np.arange(len(best)), best] >= AGREE)
+                if len(good):
+                    yield sid[part][good], sid[best[good]]
 
     return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
 
@@ -216,22 +239,20 @@ def cross_pairs(live: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
     rows = rows.select("unit", "sid", "comp", "side", "n", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
-        for _, sid, comp, side, n, sig in _grouped(batches, 5):
+        for _, sid, comp, side, n, sketch in _grouped(batches, 5):
             if side[0] == 2:
                 x = y = np.arange(len(sid))
             else:
                 x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for lo in range(0, len(x), 256):
                 part = x[lo : lo + 256]
-                agree = np.zeros((len(part), len(y)), np.uint8)
-                for k in range(COORDS):
-                    agree += sig[part, k][:, None] == sig[y, k][None, :]
-                hit = (agree >= AGREE) & (comp[part][:, None] != comp[y][None, :]) & _similar_sizes(n[part][:, None], n[y][None, :])
-                i, j = np.nonzero(hit)
-                i, j = sid[part[i]], sid[y[j]]
-                once = (i < j) if side[0] == 2 else slice(None)
-                if len(i[once]):
-                    yield i[once], j[once]
+                hit = (comp[part][:, None] != comp[y][None, :]) & _similar_sizes(n[part][:, None], n[y][None, :])
+                if side[0] == 2:
+                    hit &= sid[part][:, None] < sid[y][None, :]
+                if hit.any():
+                    i, j = np.nonzero(hit & (agreement(sketch[part], sketch[y]) >= AGREE))
+                    if len(i):
+                        yield sid[part[i]], sid[y[j]]
 
     return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
 
@@ -277,7 +298,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         wanted = reps.join(used, "sid", "left_semi").select("sid", "key")
         return docs.join(wanted, "key").dropDuplicates(["sid"]).select("sid", "text")
 
-    first = stage(leader_pairs(live, reps), "pairs")
+    first = stage(nearest_pairs(live, reps), "pairs")
     links = stage(confirmed(first, texts(first)), "links")
     comp = stage(components(links), "components")
     more = stage(cross_pairs(live, reps, comp).join(first, ["a", "b"], "left_anti"), "pairs")
