@@ -11,6 +11,7 @@ Documents then take the plan's slots by their rank within their length.  Ranks c
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -25,7 +26,7 @@ from tessera.llm.common import arrow_bytes, hash_spans, stage, text_slices
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Bytes of a text that are split into words at once, and words whose ids a worker remembers.
-SEGMENT, REMEMBERED = 4 << 20, 300_000
+SEGMENT, REMEMBERED = 2 << 20, 150_000
 _RANK = 1 << 40
 _classes: list[np.ndarray] = []
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -62,7 +63,10 @@ class PieceTokenizer:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(words), 4096):  # encodings are bulky while they live
+            out += [np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
+        return out
 
     def _starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether each code point begins a word of PATTERN; first: the texts' first code points.  Not for apostrophes."""
@@ -147,11 +151,12 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = PieceTokenizer(tokenizer)
         own = _tokenizers[tokenizer]
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, SEGMENT):
                 ids, sizes = own.column(batch.column(1))
                 out: list[list] = [[], [], [], [], []]
                 at = 0
