@@ -11,10 +11,12 @@ Documents then take the plan's slots by their rank within their length.  Ranks c
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,13 @@ def _class_table() -> np.ndarray:
     return _classes[0]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next unused from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceTokenizer:
     """Ids of texts, by one lookup a distinct word of a chunk instead of one run of the tokenizer a word."""
 
@@ -57,12 +66,39 @@ class PieceTokenizer:
 
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        self.ids: dict[int, bytes] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.merges = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        """The same merges for the faster library, where the file is plain byte-level BPE with ids in merge order; else None."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        to_byte = {c: b for b, c in _byte_letters().items()}
+        own = {t: i for t, i in model["vocab"].items() if all(c in to_byte for c in t)}
+        if model.get("type", "BPE") != "BPE" or model.get("byte_fallback") or not made or min(made) < 256 or made != sorted(set(made)) or len(own) < len(made) + 256:
+            return None
+        import tiktoken
+
+        merged = set(made)
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in own.items() if len(t) == 1 or i in merged}
+        return tiktoken.Encoding("words", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _known(self, key: int) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encoded(self, words: list[str]) -> list[bytes]:
+        if self.merges is not None:
+            return [array("I", self.merges.encode_ordinary(w)).tobytes() for w in words]
         out = []
         for lo in range(0, len(words), 4096):  # encodings are bulky while they live
             out += [np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
@@ -105,12 +141,12 @@ class PieceTokenizer:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(points))
         hashed, where, back = np.unique(hash_spans(data, at[starts], at[ends], _KEYS), return_index=True, return_inverse=True)
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        known = [self.ids.get(h) for h in hashed.tolist()]
+        if len(self.young) > REMEMBERED:  # words of the last while stay, whatever else there was
+            self.old, self.young = self.young, {}
+        known = [self._known(h) for h in hashed.tolist()]
         new = [i for i, k in enumerate(known) if k is None]
         for i, e in zip(new, self._encoded([text[starts[w] : ends[w]] for w in where[new].tolist()]), strict=True):
-            known[i] = self.ids[int(hashed[i])] = e
+            known[i] = self.young[int(hashed[i])] = e
         sizes = np.array([len(k) // 4 for k in known], np.int64)
         flat = np.frombuffer(b"".join(known), np.uint32)
         base = np.cumsum(sizes) - sizes
