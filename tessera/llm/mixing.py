@@ -71,7 +71,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     own = Window.partitionBy("q_source")
     room = F.col("tokens") * F.lit(max_repeat) - F.col("quota")
     lacking = F.greatest(F.least(F.floor("target"), F.col("seats") * block) - F.sum("quota").over(own), F.lit(0))
-    quota = quota.withColumn("quota", F.col("quota") + F.least(room, F.ceil(lacking * F.coalesce(room / F.nullif(F.sum(room).over(own), F.lit(0)), F.lit(0.0)))))
+    part = lacking * F.coalesce(room / F.nullif(F.sum(room).over(own), F.lit(0)), F.lit(0.0))
+    quota = quota.withColumn("room", room).withColumn("part", part)
+    upto = F.sum("part").over(own.orderBy("q_shard").rowsBetween(Window.unboundedPreceding, 0)) + 1e-6
+    quota = quota.withColumn("quota", F.col("quota") + F.least("room", F.floor(upto) - F.floor(upto - F.col("part"))))
     laid = rows.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     along = Window.partitionBy("source", "shard").orderBy("draw", "key", "size")
     laid = laid.withColumn("end", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)))
