@@ -27,9 +27,9 @@ from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, sta
 from tessera.llm.components import components
 
 WIDTH, TREES, COORDS, LEAF, DEPTH, BLOCK = 5, 12, 32, 256, 4, 1024
-#: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate agrees in at least
-#: AGREE of the ranges that either fills: over four standard deviations below the similarity.
-BINS, AGREE = 512, 0.67
+#: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate's similarity as
+#: the sketches estimate it is at most DEVIATIONS standard deviations below the least similarity.
+BINS, LEAST, DEVIATIONS = 512, 0.75, 4.5
 _RNG = np.random.Generator(np.random.PCG64(8))
 _MUL = _RNG.integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, COORDS, dtype=np.uint64)
@@ -70,8 +70,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([out.view(np.uint8), sketch[:, ::2] | sketch[:, 1::2] << 4], axis=1)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of agreeing ranges of each pair of sketches."""
+def alike(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of each pair of sketches of sets of the given sizes, and whether the pair is a candidate.
+
+    Of the ranges that either set fills, those where the least hash is in both agree; another fifteenth of the rest that
+    both fill agrees by chance and is taken off.  The ranges are a sample of the union without replacement.
+    """
     if len(a) * len(b) <= 4096:
         same = ((a[:, None, :] == b[None, :, :]) & (a > 0)[:, None, :]).sum(2)
     else:
@@ -79,7 +83,14 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for k in range(BINS):
             same += (a[:, k][:, None] == b[:, k][None, :]) & (a[:, k] > 0)[:, None]
     fa, fb = (a > 0).astype(np.float32), (b > 0).astype(np.float32)
-    return same / (fa.sum(1)[:, None] + fb.sum(1)[None, :] - fa @ fb.T)
+    both = fa @ fb.T
+    either = fa.sum(1)[:, None] + fb.sum(1)[None, :] - both
+    share = (same - both / 15) * 15 / 14 / either
+    union = (n_a[:, None] + n_b[None, :]) / (1 + LEAST)
+    left = np.maximum(0.1, 1 - either / np.maximum(union, 1))
+    spread = np.sqrt(LEAST * (1 - LEAST) / either * left + (1 - LEAST) / 15 / either)
+    sizes = 4 * np.minimum(n_a[:, None], n_b[None, :]) >= 3 * np.maximum(n_a[:, None], n_b[None, :])
+    return share, sizes & (share >= LEAST - DEVIATIONS * spread)
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -183,10 +194,6 @@ def _grouped(batches, width: int):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
 
 
-def _similar_sizes(a, b):
-    return (4 * np.minimum(a, b)) >= (3 * np.maximum(a, b))
-
-
 def _pairs_out(a: list, b: list):
     a, b = np.concatenate(a), np.concatenate(b)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -217,9 +224,10 @@ def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
         for _, sid, n, sketch in _grouped(batches, 3):
             for lo in range(0, len(sid), BLOCK):
                 part = slice(lo, lo + BLOCK)
-                share = np.where(_similar_sizes(n[part, None], n[None, :]) & (sid[part, None] != sid[None, :]), agreement(sketch[part], sketch), 0)
+                share, candidate = alike(sketch[part], n[part], sketch, n)
+                share = np.where(candidate & (sid[part, None] != sid[None, :]), share, -1)
                 best = share.argmax(1)
-                good = np.flatnonzero(share[np.arange(len(best)), best] >= AGREE)
+                good = np.flatnonzero(share[np.arange(len(best)), best] >= 0)
                 if len(good):
                     yield sid[part][good], sid[best[good]]
 
@@ -227,32 +235,40 @@ def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def cross_pairs(live: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): all candidate pairs of a node that lie in different components, block against block."""
+    """(a, b): all candidate pairs of a node that lie in different components, block against block, each in one node alone.
+
+    A row knows all nodes of its entity (a few a tree), so that a pair is given by the first of the nodes that it shares.
+    """
     rows = live.join(comp, live.sid == comp.node, "left").select(live.sid, live.node, live.c, F.coalesce(comp.component, live.sid).alias("comp"))
     mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.join(mixed, "node", "left_semi").withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
+    rows = stage(rows.join(mixed, "node", "left_semi"), "mixed")
+    places = rows.groupBy("sid").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    facts = reps.select("sid", "n", "sig").join(places, "sid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
     rows = rows.select("sid", "comp", "own", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     unit = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     side = (F.col("own") > F.col("other")).cast("int") + F.when(F.col("own") == F.col("other"), 2).otherwise(0)
-    rows = rows.select(unit.alias("unit"), "sid", "comp", side.alias("side")).join(reps.select("sid", "n", "sig"), "sid")
-    rows = rows.select("unit", "sid", "comp", "side", "n", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
+    rows = rows.select(unit.alias("unit"), "node", "sid", "comp", side.alias("side")).join(facts, "sid")
+    rows = rows.select("unit", "node", "sid", "comp", "side", "n", "nodes", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
-        for _, sid, comp, side, n, sketch in _grouped(batches, 5):
+        for _, node, sid, comp, side, n, nodes, sketch in _grouped(batches, 7):
             if side[0] == 2:
                 x = y = np.arange(len(sid))
             else:
                 x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for lo in range(0, len(x), 256):
                 part = x[lo : lo + 256]
-                hit = (comp[part][:, None] != comp[y][None, :]) & _similar_sizes(n[part][:, None], n[y][None, :])
+                apart = comp[part][:, None] != comp[y][None, :]
                 if side[0] == 2:
-                    hit &= sid[part][:, None] < sid[y][None, :]
-                if hit.any():
-                    i, j = np.nonzero(hit & (agreement(sketch[part], sketch[y]) >= AGREE))
-                    if len(i):
-                        yield sid[part[i]], sid[y[j]]
+                    apart &= sid[part][:, None] < sid[y][None, :]
+                if apart.any():
+                    i, j = np.nonzero(apart & alike(sketch[part], n[part], sketch[y], n[y])[1])
+                    i, j = part[i], y[j]
+                    first = np.array([np.intersect1d(nodes[p], nodes[q], assume_unique=True)[0] == node[0] for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    if first.any():
+                        yield sid[i[first]], sid[j[first]]
 
     return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
 
