@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_bytes, hash_spans, mix, new_folder, opened, stage, text_slices, word_spans
+from tessera.llm.common import arrow_bytes, drop_clashing, hash_spans, mix, new_folder, opened, stage, text_slices, word_spans
 from tessera.llm.elias_fano import EliasFano
 
 ORDER, DISCOUNT, SHARD_BYTES, LEAST_SHARDS = 2, 0.75, 24 << 20, 16
@@ -296,14 +296,15 @@ def scores(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def score(df: DataFrame, trie: Trie, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns (all but the text by default), then n_tokens, n_known, train_tokens, base_score, score.
+    """Kept columns (all but the text and clashing ones by default), then n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is its end alone.  With an empty model every token has probability 1.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = [c for c in drop_clashing(df, outputs).columns if c != text] if keep is None else keep
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(trie)  # file names, a few a shard
-    names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = [*keep, *outputs]
 
     def run(batches):
         own = shared.value
