@@ -80,5 +80,22 @@ FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >
 """
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ i AS (SELECT r, i, ws[i:i + 4] AS win FROM w, unnest(range(1, len(ws) - 3)) AS q(i)),
+ twice AS (SELECT r, i FROM i QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+ covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS o(k) GROUP BY r),
+ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+   coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS letters
+   FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines
+      OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 2 * up > letters) AS kept
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op5_quality": OP5_SQL, "op9_warc": OP9_SQL}
