@@ -6,14 +6,14 @@ from tessera.queries import query
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS sum_qty, round(sum(l_extendedprice),2) AS sum_base_price,
- round(sum(l_extendedprice*(1-l_discount)),2) AS sum_disc_price, round(sum(l_extendedprice*(1-l_discount)*(1+l_tax)),2) AS sum_charge,
+ round(sum(l_extendedprice*(1-l_discount)),4) AS sum_disc_price, round(sum(l_extendedprice*(1-l_discount)*(1+l_tax)),2) AS sum_charge,
  round(avg(l_quantity),4) AS avg_qty, round(avg(l_extendedprice),4) AS avg_price, round(avg(l_discount),4) AS avg_disc, count(*) AS count_order
  FROM lineitem WHERE l_shipdate <= date '1998-12-01' - interval '90' day GROUP BY ALL""")
 def q1(t):
     d = t.lineitem.filter_sql("l_shipdate <= date '1998-12-01' - interval '90' day")
     return d.groupby(["l_returnflag", "l_linestatus"], orderby=["l_returnflag", "l_linestatus"]).agg_sql(
         """round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price,
-        round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price,
+        round(sum(l_extendedprice * (1 - l_discount)), 4) as sum_disc_price,
         round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge,
         round(avg(l_quantity), 4) as avg_qty, round(avg(l_extendedprice), 4) as avg_price,
         round(avg(l_discount), 4) as avg_disc, count(*) as count_order"""
@@ -35,13 +35,13 @@ def q2(t):
     return d.transform_sql("s_name as s_name, n_name as n_name, p_partkey as p_partkey, round(s_acctbal, 2) as s_acctbal")
 
 
-@query("""SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
+@query("""SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
  JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < date '1998-03-15' AND l_shipdate > date '1998-03-15'
  GROUP BY ALL ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""")
 def q3(t):
     d = t.lineitem.filter_sql("l_shipdate > date '1998-03-15'").join(t.orders.filter_sql("o_orderdate < date '1998-03-15'"), left_on="l_orderkey", right_on="o_orderkey")
     d = d.join(t.customer.filter_sql("c_mktsegment = 'BUILDING'"), left_on="o_custkey", right_on="c_custkey")
-    d = d.groupby(["l_orderkey", "o_orderdate"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue")
+    d = d.groupby(["l_orderkey", "o_orderdate"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue")
     return d.top_k(["revenue", "o_orderdate", "l_orderkey"], 10, descending=[True, False, False])
 
 
@@ -53,7 +53,7 @@ def q4(t):
     return d.groupby("o_orderpriority", orderby="o_orderpriority").agg_sql("count(*) as order_count")
 
 
-@query("""SELECT n_name, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+@query("""SELECT n_name, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
  JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
  WHERE r_name = 'ASIA' AND o_orderdate >= date '1996-01-01' AND o_orderdate < date '1997-01-01' GROUP BY ALL""")
 def q5(t):
@@ -61,16 +61,16 @@ def q5(t):
     suppliers = t.supplier.join(nations, left_on="s_nationkey", right_on="n_nationkey")
     d = t.lineitem.join(t.orders.filter_sql("o_orderdate >= date '1996-01-01' and o_orderdate < date '1997-01-01'"), left_on="l_orderkey", right_on="o_orderkey")
     d = d.join(suppliers, left_on="l_suppkey", right_on="s_suppkey").join(t.customer, left_on=["o_custkey", "s_nationkey"], right_on=["c_custkey", "c_nationkey"])
-    return d.groupby("n_name").agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue")
+    return d.groupby("n_name").agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue")
 
 
-@query("SELECT round(sum(l_extendedprice*l_discount),2) AS revenue FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("SELECT round(sum(l_extendedprice*l_discount),4) AS revenue FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def q6(t):
     d = t.lineitem.filter_sql("l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-01-01' + interval '1' year and l_discount between 0.05 and 0.07 and l_quantity < 24")
-    return d.agg_sql("round(sum(l_extendedprice * l_discount), 2) as revenue")
+    return d.agg_sql("round(sum(l_extendedprice * l_discount), 4) as revenue")
 
 
-@query("""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate)::BIGINT AS l_year, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue
+@query("""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate)::BIGINT AS l_year, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue
  FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey
  JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1'))
  AND l_shipdate BETWEEN date '1995-01-01' AND date '1996-12-31' GROUP BY ALL""")
@@ -80,7 +80,7 @@ def q7(t):
     d = d.join(t.supplier.join(two, left_on="s_nationkey", right_on="n_nationkey").rename({"n_name": "supp_nation"}), left_on="l_suppkey", right_on="s_suppkey")
     d = d.join(t.customer.join(two, left_on="c_nationkey", right_on="n_nationkey").rename({"n_name": "cust_nation"}), left_on="o_custkey", right_on="c_custkey")
     d = d.filter_sql("supp_nation <> cust_nation").with_columns({"l_year": lambda x: x["l_shipdate"].dt.year().cast("long")})
-    return d.groupby(["supp_nation", "cust_nation", "l_year"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue")
+    return d.groupby(["supp_nation", "cust_nation", "l_year"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue")
 
 
 @query("""SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END)/sum(volume),6) AS mkt_share FROM (SELECT year(o_orderdate)::BIGINT AS o_year,
@@ -96,22 +96,22 @@ def q8(t):
     return d.groupby("o_year").agg_sql("round(sum(case when n_name = 'NATION_3' then volume else 0 end) / sum(volume), 6) as mkt_share")
 
 
-@query("""SELECT n_name AS nation, year(o_orderdate)::BIGINT AS o_year, round(sum(l_extendedprice*(1-l_discount)),2) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey
+@query("""SELECT n_name AS nation, year(o_orderdate)::BIGINT AS o_year, round(sum(l_extendedprice*(1-l_discount)),4) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey
  JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_type LIKE '%PROMO%' GROUP BY ALL""")
 def q9(t):
     d = t.lineitem.join(t.part.filter(t.part["p_type"].str.contains("PROMO")), left_on="l_partkey", right_on="p_partkey").join(t.orders, left_on="l_orderkey", right_on="o_orderkey")
     d = d.join(t.supplier, left_on="l_suppkey", right_on="s_suppkey").join(t.nation, left_on="s_nationkey", right_on="n_nationkey").rename({"n_name": "nation"})
     d = d.with_columns({"o_year": lambda x: x["o_orderdate"].dt.year().cast("long")})
-    return d.groupby(["nation", "o_year"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as amount")
+    return d.groupby(["nation", "o_year"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as amount")
 
 
-@query("""SELECT c_custkey, c_name, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, round(c_acctbal,2) AS c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey
+@query("""SELECT c_custkey, c_name, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue, round(c_acctbal,2) AS c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey
  JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= date '1996-01-01' AND o_orderdate < date '1996-04-01' AND l_returnflag = 'R'
  GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
 def q10(t):
     d = t.lineitem.filter_sql("l_returnflag = 'R'").join(t.orders.filter_sql("o_orderdate >= date '1996-01-01' and o_orderdate < date '1996-04-01'"), left_on="l_orderkey", right_on="o_orderkey")
     d = d.join(t.customer, left_on="o_custkey", right_on="c_custkey").join(t.nation, left_on="c_nationkey", right_on="n_nationkey").rename({"o_custkey": "c_custkey"})
-    d = d.groupby(["c_custkey", "c_name", "c_acctbal", "n_name"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue")
+    d = d.groupby(["c_custkey", "c_name", "c_acctbal", "n_name"]).agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue")
     d = d.top_k(["revenue", "c_custkey"], 20, descending=[True, False])
     return d.transform_sql("c_custkey as c_custkey, c_name as c_name, revenue as revenue, round(c_acctbal, 2) as c_acctbal, n_name as n_name")
 
@@ -145,10 +145,10 @@ def q14(t):
     return d.agg_sql("round(100 * sum(case when p_type like 'PROMO%' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as promo_revenue")
 
 
-@query("""WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice*(1-l_discount)),2) AS total_revenue FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1996-04-01' GROUP BY ALL)
+@query("""WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice*(1-l_discount)),4) AS total_revenue FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1996-04-01' GROUP BY ALL)
  SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)""")
 def q15(t):
-    r = t.lineitem.filter_sql("l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-04-01'").groupby("l_suppkey").agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as total_revenue")
+    r = t.lineitem.filter_sql("l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-04-01'").groupby("l_suppkey").agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as total_revenue")
     best = r.agg({"total_revenue": "max"})
     d = r.join(best, left_on="total_revenue", right_on="total_revenue_max")
     return t.supplier.join(d, left_on="s_suppkey", right_on="l_suppkey").select(["s_suppkey", "s_name", "total_revenue"])
@@ -183,10 +183,10 @@ _Q19 = """(p_brand = 'Brand#2' and l_quantity between 1 and 11 and p_size betwee
  or (p_brand = 'Brand#4' and l_quantity between 20 and 30 and p_size between 1 and 15)"""
 
 
-@query(f"SELECT round(sum(l_extendedprice*(1-l_discount)),2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_Q19}")
+@query(f"SELECT round(sum(l_extendedprice*(1-l_discount)),4) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_Q19}")
 def q19(t):
     d = t.lineitem.join(t.part, left_on="l_partkey", right_on="p_partkey").filter_sql(_Q19)
-    return d.agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue")
+    return d.agg_sql("round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue")
 
 
 @query("""SELECT s_name, s_suppkey FROM supplier WHERE s_nationkey < 5 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type LIKE 'SMALL%')
