@@ -201,7 +201,7 @@ def train(patterns: list[tuple[str, int, int, int]], steps: int = 400) -> np.nda
     x = _features([p[:3] for p in patterns])
     y = np.array([soft[f"{k}:{v}:{s}"] for k, v, s, _ in patterns])
     n = np.array([c for *_, c in patterns], float)
-    n = np.minimum(n, 1e6) / np.minimum(n, 1e6).sum() + 1e-3 / len(n)
+    n = n / n.sum() + 1e-3 / len(n)  # rare patterns count a little too
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= 2.0 * (x.T @ (n * (p - y)) + 1e-5 * w)

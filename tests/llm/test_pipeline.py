@@ -29,3 +29,18 @@ def test_stages_on_a_small_fixture(spark, tmp_path):
     assert five.groupby("sequence_id").length.sum().max() <= 2048
     assert (five.piece == 0).sum() == four.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(five)
+
+
+def test_stages_on_empty_and_awkward_tables(spark, tmp_path):
+    for docs in (fixtures.empty(spark), fixtures.frame(spark)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            rows = out.collect()
+            assert bool(rows) == bool(docs.count())
+            if name == "minhash_dedup" and rows:
+                ids = [r.doc_id for r in rows]
+                assert ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
+            if name == "secrets":
+                assert len(rows) == docs.count()
