@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute
@@ -27,6 +28,51 @@ class Executor:
         return None
 
 
+@dataclass(frozen=True)
+class PassThroughPartitioner:
+    """Batches stay where they are."""
+
+
+@dataclass(frozen=True)
+class HashPartitioner:
+    """Rows of a key (or keys) meet in one executor."""
+
+    key: str | tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class RangePartitioner:
+    """Each executor gets a stretch of the key's values."""
+
+    key: str
+    total: int | None = None
+
+
+@dataclass(frozen=True)
+class SingleChannelStrategy:
+    """One executor sees all batches; only for results that are small by then."""
+
+
+@dataclass(frozen=True)
+class CustomChannelsStrategy:
+    """A number of executors."""
+
+    channels: int
+
+
+def dealt(df: DataFrame, partitioner=None, placement=None) -> DataFrame:
+    """df partitioned as asked for; without a wish, as it comes."""
+    n = [placement.channels] if isinstance(placement, CustomChannelsStrategy) else []
+    if isinstance(placement, SingleChannelStrategy):
+        return df.coalesce(1)
+    if isinstance(partitioner, HashPartitioner):
+        keys = [partitioner.key] if isinstance(partitioner.key, str) else partitioner.key
+        return df.repartition(*n, *[F.col(f"`{k}`") for k in keys])
+    if isinstance(partitioner, RangePartitioner):
+        return df.repartitionByRange(*(n or [partitioner.total] if n or partitioner.total else []), F.col(f"`{partitioner.key}`"))
+    return df.repartition(*n) if n else df
+
+
 def tables(value) -> list[pa.Table]:
     """Arrow tables of what a user's function returned: nothing, one or several tables, batches or pandas frames."""
     if value is None:
@@ -78,8 +124,8 @@ def _fresh(executor):
     return executor() if isinstance(executor, type) or (callable(executor) and not hasattr(executor, "execute")) else copy.deepcopy(executor)
 
 
-def stateful(df: DataFrame, executor, new_schema, required_columns: Sequence[str], by: Sequence[str] | None = None, single: bool = False) -> DataFrame:
-    """An executor (or factory) per task over its batches: dealt as they come, by key (a key is never split), or all in one task."""
+def stateful(df: DataFrame, executor, new_schema, required_columns: Sequence[str], partitioner=None, placement=None) -> DataFrame:
+    """An executor (or factory) per task over its batches, dealt by a partitioner and a placement."""
     part = df.select(*[F.col(f"`{c}`") for c in required_columns])
 
     def sampled():
@@ -89,10 +135,7 @@ def stateful(df: DataFrame, executor, new_schema, required_columns: Sequence[str
 
     schema = declared(new_schema, sampled)
     kind = to_arrow_schema(schema)
-    if single:
-        part = part.coalesce(1)
-    elif by:
-        part = part.repartition(*[F.col(f"`{c}`") for c in by])
+    part = dealt(part, partitioner, placement)
 
     def run(batches):
         own, channel = _fresh(executor), TaskContext.get().partitionId()

@@ -178,8 +178,11 @@ class Stream:
             return Stream(self.df.groupBy(*_list(groupby)).agg(*exprs) if groupby else self.df.agg(*exprs))
         return self._new(self.df.select(*exprs))
 
-    def stateful_transform(self, executor, new_schema, required_columns: Sequence[str] | set[str], by: Sequence[str] | str | None = None, single: bool = False) -> Stream:
-        return self._new(stateful.stateful(self.df, executor, new_schema, [c for c in self.schema if c in set(required_columns)], _list(by) if by else None, single))
+    def stateful_transform(self, executor, new_schema, required_columns: Sequence[str] | set[str], partitioner=None, placement_strategy=None, by: Sequence[str] | str | None = None) -> Stream:
+        """An executor per task over batches of the required columns; `by` is short for a hash partitioner."""
+        if by:
+            partitioner = stateful.HashPartitioner(tuple(_list(by)))
+        return self._new(stateful.stateful(self.df, executor, new_schema, [c for c in self.schema if c in set(required_columns)], partitioner, placement_strategy))
 
     # Whole tables
 

@@ -182,6 +182,18 @@ def test_stateful_results_do_not_depend_on_partitions(spark, parts):
     assert got(s.stateful_transform(CountByKey, ["o_custkey", "n"], {"o_custkey", "o_orderkey"}, by="o_custkey")) == sorted((k, 500 // 7 + (k < 500 % 7)) for k in range(7))
 
 
+def test_partitioners_and_placements(spark):
+    from tessera.operators.stateful import CustomChannelsStrategy, HashPartitioner, RangePartitioner, SingleChannelStrategy
+    from tessera.queries.udfs import CountByKey
+
+    s = Stream(spark.createDataFrame([(i % 5, i) for i in range(100)], "o_custkey long, o_orderkey long").repartition(6))
+    want = [(k, 20) for k in range(5)]
+    for partitioner, placement in [(HashPartitioner("o_custkey"), None), (HashPartitioner("o_custkey"), CustomChannelsStrategy(3)), (RangePartitioner("o_custkey", 4), None), (None, SingleChannelStrategy())]:
+        assert got(s.stateful_transform(CountByKey, "o_custkey long, n long", {"o_custkey", "o_orderkey"}, partitioner, placement)) == want
+    spread = got(s.stateful_transform(CountByKey, "o_custkey long, n long", {"o_custkey", "o_orderkey"}, None, CustomChannelsStrategy(4)))
+    assert sum(n for _, n in spread) == 100 and len(spread) > 5
+
+
 class Service(http.server.BaseHTTPRequestHandler):
     def answer(self, body):
         self.send_response(200 if body is not None else 404)
