@@ -67,6 +67,17 @@ query(f"SELECT e.vec_id, p.vec_id AS probe_id FROM embeddings e, embeddings p WH
 query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id < 10 AND e.label < 3) WHERE r <= 3", "knn_filtered")(lambda t: t.embeddings.filter_sql("label < 3").select(["vec_id", "embedding"]).vector_nn_join(_probes(t), vec_column_left="embedding", vec_column_right="probe_vec", k=3).select(["vec_id", "probe_id"]))
 
 
+def _every_probe(t):
+    """Every fiftieth row, so that the probes grow with the table."""
+    return t.embeddings.filter_sql("vec_id % 50 = 0").select(["vec_id", "embedding"]).rename({"vec_id": "probe_id", "embedding": "probe_vec"})
+
+
+query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0) WHERE r <= 5", "knn_of_probes_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=5).select(["vec_id", "probe_id"]))
+query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_COS} DESC, p.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0) WHERE r <= 2", "knn_of_rows_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=2, probe_side="left").select(["vec_id", "probe_id"]))
+query(f"SELECT e.vec_id, p.vec_id AS probe_id FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND {_COS} >= 0.3", "vector_range_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_range_join(_every_probe(t), 0.3, vec_column_left="embedding", vec_column_right="probe_vec").select(["vec_id", "probe_id"]))
+query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND e.label < 3) WHERE r <= 3", "knn_filtered_every")(lambda t: t.embeddings.filter_sql("label < 3").select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=3).select(["vec_id", "probe_id"]))
+
+
 def _stream(t):
     batch = t.events.df
     return t.spark.readStream.schema(batch.schema).parquet(f"{t.sf_dir}/events.parque[t]")

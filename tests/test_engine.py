@@ -267,3 +267,28 @@ def test_combinations_of_joined_sorted_streams_keep_time(ctx):
         s.drop(["ts"])
     assert list(itertools.islice(s.schema, 2)) == ["event_id", "ts"]
     assert isinstance(s.to_arrow(), pa.Table) and s.df.select(F.max("ts")).count() == 1
+
+
+@pytest.mark.parametrize("block", [8192, 4])
+def test_vector_queries_take_every_fiftieth_row_as_probe(spark, tmp_path, monkeypatch, block):
+    import numpy as np
+
+    from tessera import queries
+    from tessera.operators import vectors
+
+    queries.load()
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    x = np.random.default_rng(4).normal(size=(620, 6))
+    spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, ids, ps = unit @ unit.T, range(len(x)), range(0, len(x), 50)
+    assert len(ps) == 13
+    want = {
+        "knn_of_probes_every": {(i, p) for p in ps for i in sorted(ids, key=lambda i: -cos[i, p])[:5]},
+        "knn_of_rows_every": {(i, p) for i in ids for p in sorted(ps, key=lambda p: -cos[i, p])[:2]},
+        "vector_range_every": {(i, p) for i in ids for p in ps if cos[i, p] >= 0.3},
+        "knn_filtered_every": {(i, p) for p in ps for i in sorted((i for i in ids if i % 7 < 3), key=lambda i: -cos[i, p])[:3]},
+    }
+    for name, pairs in want.items():
+        out = queries.QUERIES[name](spark, str(tmp_path)).select("vec_id", "probe_id").collect()
+        assert {tuple(r) for r in out} == pairs and len(out) == len(pairs), name
