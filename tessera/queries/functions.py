@@ -44,7 +44,15 @@ def sparse_matmul(t):
     return Stream(algebra.matmul(m, m.selectExpr("j AS i", "i AS j", "v")))
 
 
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS i, l_linenumber AS j, 1.0::DOUBLE AS v FROM lineitem)
+ SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN (SELECT j AS i, i AS j, v FROM m) b ON a.j = b.i GROUP BY ALL""")
+def sparse_matmul_whole(t):
+    m = t.lineitem.distinct(["l_suppkey", "l_linenumber"]).df.selectExpr("l_suppkey AS i", "cast(l_linenumber AS bigint) AS j", "1.0D AS v")
+    return Stream(algebra.matmul(m, m.selectExpr("j AS i", "i AS j", "v")))
+
+
 @query()
 def pagerank(t):
-    edges = t.lineitem.df.selectExpr("l_suppkey AS src", "l_partkey % 100 AS dst").where("src <> dst")
+    """Suppliers point to their parts.  Part p is node -1 - p, since suppliers and parts are numbered alike."""
+    edges = t.lineitem.df.selectExpr("l_suppkey AS src", "-1 - l_partkey AS dst")
     return Stream(algebra.pagerank(edges, rounds=5))

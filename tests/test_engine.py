@@ -292,3 +292,27 @@ def test_vector_queries_take_every_fiftieth_row_as_probe(spark, tmp_path, monkey
     for name, pairs in want.items():
         out = queries.QUERIES[name](spark, str(tmp_path)).select("vec_id", "probe_id").collect()
         assert {tuple(r) for r in out} == pairs and len(out) == len(pairs), name
+
+
+def test_matrix_product_and_pagerank_take_all_ids(spark, tmp_path):
+    from tessera import queries
+
+    queries.load()
+    r = random.Random(6)
+    rows = sorted({(r.randrange(1, 90), r.randrange(1, 400), r.randrange(1, 8)) for _ in range(700)} | {(5, 5, 1)})
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = {s: {n for i, _, n in rows if i == s} for s, _, _ in rows}
+    want = {(a, b): len(lines[a] & lines[b]) for a in lines for b in lines if lines[a] & lines[b]}
+    out = queries.QUERIES["sparse_matmul_whole"](spark, str(tmp_path)).collect()
+    assert {(x.i, x.j): x.v for x in out} == want and len(out) == len(want)
+    edges = {(s, -1 - p) for s, p, _ in rows}
+    nodes = {x for e in edges for x in e}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(5):
+        got = dict.fromkeys(nodes, 0.0)
+        for s, p in edges:
+            got[p] += rank[s] / sum(a == s for a, _ in edges)
+        lost = 1 - sum(got.values())
+        rank = {n: 0.15 / len(nodes) + 0.85 * (got[n] + lost / len(nodes)) for n in nodes}
+    out = {x.node: x["rank"] for x in queries.QUERIES["pagerank"](spark, str(tmp_path)).collect()}
+    assert out == pytest.approx(rank)
