@@ -32,7 +32,8 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 
 #: Shortest token that the battery looks at, level of the three tests, and false-discovery rate.
 MIN_TOKEN, ALPHA, FDR = 20, 0.01, 0.05
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}(?![A-Za-z0-9+/_=-])" % MIN_TOKEN)
+#: A whole run of token characters, with one or two "=" as padding only where neither a token nor more "=" follows.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % MIN_TOKEN)
 #: Chance that two characters of ordinary writing agree (index of coincidence of English).
 COINCIDENCE = 0.0655
 _ALPHABETS = tuple(

@@ -71,6 +71,17 @@ def test_battery_finds_random_tokens_and_leaves_writing():
     assert sum(bool(secrets.random_spans(t)) for t in quiet) == 0
 
 
+def test_tokens_beside_an_equals_sign():
+    aws, session, sig = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "gh9aB3dE5fG7hJ9kL1mN3pQ5rS7tU9v", "Zx81bQ0r7YtLk29VwPq5Ns3Hd"
+    cases = [(f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"export SESSION={session}", session), (f"url?sig={sig}", sig), (f"url?a=1&sig={sig}&b=2", sig), (f"SESSION={session}==", session + "=="), (f"{session}=on", session), (f"x={session}===", session), (f"a=={session}\nb=1", session)]
+    for text, token in cases:
+        at = text.index(token)
+        assert secrets.random_spans(text) == [(at, at + len(token))], text
+        assert secrets.redact(text, secrets.spans(text)[1]) == text.replace(token, "[SECRET]")
+    quiet = ["MAX_UPLOAD_SIZE_IN_BYTES_V2=10485760", "next=/a/very/long/path/to/some/page-number-12&ref=another-hyphenated-compound-word-3", "RULE=" + "=" * 30]
+    assert not any(secrets.random_spans(t) for t in quiet)
+
+
 def test_secret_edges(spark):
     docs = fixtures.frame(spark)
     rows = secrets.scan(docs).collect()
