@@ -12,8 +12,9 @@ is and finds the original that its copies resemble more than each other.  Then e
 components is compared.  Nodes beyond
 BLOCK entities are compared block by block, so that a task holds two blocks at most and no pair is lost.
 
-A pair at the least similarity misses one tree with a chance under 0.4 (deep nodes) or 0.19 (first level), and
-the signature filter with one under 1e-5; twelve trees leave under 2e-5 unseen.
+A pair at the least similarity misses one tree with a chance of 0.188, 0.324, 0.428 or 0.509 at depth 1 to 4.  Trees share
+no minwise value, so seventeen leave 1.1e-5 unseen at depth 4 (5.5e-7 at depth 3); the signature filter misses one with
+a chance under 1e-5.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, stage, text_slices, word_spans
 from tessera.llm.components import components
 
-WIDTH, TREES, COORDS, LEAF, DEPTH, BLOCK = 5, 12, 32, 256, 4, 1024
+WIDTH, TREES, LEAF, DEPTH, BLOCK = 5, 17, 256, 4, 1024
+#: Minwise values of a set: two a level of each tree, shared with no other level or tree.  A node's low five bits are its tree.
+COORDS = 2 * DEPTH * TREES
+_TREE = np.uint64(31)
 #: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate's similarity as
 #: the sketches estimate it is at most DEVIATIONS standard deviations below the least similarity.
 BINS, LEAST, DEVIATIONS = 512, 0.75, 4.5
@@ -112,14 +116,20 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _children(sig: np.ndarray, path: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of each row of signatures at its path: one coordinate always, a second for a third of the paths."""
+    """(row, child node) of each row of signatures at its path: one of the level's two coordinates, both for a third of the paths."""
     draw = mix(path ^ np.uint64(level * 2 + 1))
-    first = (draw % np.uint64(COORDS)).astype(np.int64)
-    other = (first + 1 + (draw // np.uint64(COORDS) % np.uint64(COORDS - 1)).astype(np.int64)) % COORDS
+    pair = ((path & _TREE) * np.uint64(2 * DEPTH) + np.uint64(2 * level)).astype(np.int64)
+    turn = (draw & np.uint64(1)).astype(np.int64)
     twice = (draw >> np.uint64(40)) % np.uint64(3) == 0
     rows = np.arange(len(path))
-    picked, at = np.concatenate([rows, rows[twice]]), np.concatenate([first, other[twice]])
-    return picked, mix(path[picked] ^ mix(sig[picked, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(33)) + np.uint64(1 << 40)))
+    picked, at = np.concatenate([rows, rows[twice]]), np.concatenate([pair + turn, (pair + 1 - turn)[twice]])
+    child = mix(path[picked] ^ mix(sig[picked, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(33)) + np.uint64(1 << 40)))
+    return picked, (child & ~_TREE) | (path[picked] & _TREE)
+
+
+def _root_paths() -> np.ndarray:
+    trees = np.arange(TREES, dtype=np.uint64)
+    return (mix((trees + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & ~_TREE) | trees
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -137,7 +147,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _roots(reps: DataFrame) -> DataFrame:
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    roots = _root_paths()
 
     def run(batches):
         for batch in batches:

@@ -76,6 +76,25 @@ def test_large_nodes_are_compared_block_by_block(spark, monkeypatch):
     assert {g.doc_id: g.component_id for g in got} == brute(rows)[1]
 
 
+def test_pairs_at_the_least_similarity_share_a_deepest_node():
+    """Pairs of signatures whose minwise values agree with a chance of 0.75 each, through all levels of all trees."""
+    m, n, r = minhash_dedup, 200_000, np.random.default_rng(9)
+    seen = np.zeros(n, bool)
+    roots = m._root_paths() if hasattr(m, "_root_paths") else m.mix(np.arange(1, m.TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    one = r.integers(0, 1 << 32, (n, m.COORDS), dtype=np.uint32)
+    two = np.where(r.random((n, m.COORDS), np.float32) < 0.75, one, ~one)
+    for root in roots:
+        sid, path = np.arange(n), np.full(n, root)
+        for level in range(m.DEPTH):
+            picked, child = m._children(one[sid], path, level)
+            picked_too, child_too = m._children(two[sid], path, level)
+            assert (picked == picked_too).all()
+            both = child == child_too
+            sid, path = sid[picked[both]], child[both]
+        seen[sid] = True
+    assert (~seen).sum() <= 15  # 2e-5 of them are 4
+
+
 def test_document_edges(spark):
     docs = fixtures.frame(spark)
     got = minhash_dedup.near_duplicates(docs).collect()
