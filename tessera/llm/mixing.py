@@ -6,7 +6,8 @@
 2. Targets become equal blocks of `block` tokens by highest quotients target / (2 k + 1): the house is all quotients
    of half a block and more, so a source has round(target / block) seats.
 3. A source's seats are dealt to its shards (documents by hash of their id) the same way, now with a fixed house:
-   the highest quotients tokens / (2 k + 1) win, none beyond what the shard can give.  Short last blocks are made up for.
+   the highest quotients tokens / (2 k + 1) win, none beyond what the shard can give.
+   What blocks leave of the target is made up for, so a source of less than half a block still gets its tokens.
 4. A shard lays its documents out in an order drawn from the seed, `max_repeat` times over, and gives its first blocks.
 
 Texts are read once, for their sizes; everything after works on (id, source, size) in the shared folder.
@@ -67,14 +68,18 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     won = ranked.join(house, F.col("source").eqNullSafe(F.col("h_source"))).where("rank <= free").groupBy(F.col("source").alias("v_source"), F.col("shard").alias("v_shard")).agg(F.count("*").alias("won"))
     quota = dealt.join(won, F.col("source").eqNullSafe(F.col("v_source")) & (F.col("shard") == F.col("v_shard")), "left")
     quota = quota.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "tokens", "source_size", F.col("target"), "seats", F.least((F.col("sure") + F.coalesce("won", F.lit(0))) * block, F.col("tokens") * F.lit(max_repeat)).alias("quota"))
-    # A shard's last block may be short; what those lack of the source's target goes to its shards by the room they have.
+    # What short last blocks, and targets above whole blocks, lack goes to the source's shards one after another: what room
+    # their first copies have, then their second.  So documents are taken whole, but for one at the end.
     own = Window.partitionBy("q_source")
-    room = F.col("tokens") * F.lit(max_repeat) - F.col("quota")
-    lacking = F.greatest(F.least(F.floor("target"), F.col("seats") * block) - F.sum("quota").over(own), F.lit(0))
-    part = lacking * F.coalesce(room / F.nullif(F.sum(room).over(own), F.lit(0)), F.lit(0.0))
-    quota = quota.withColumn("room", room).withColumn("part", part)
-    upto = F.sum("part").over(own.orderBy("q_shard").rowsBetween(Window.unboundedPreceding, 0)) + 1e-6
-    quota = quota.withColumn("quota", F.col("quota") + F.least("room", F.floor(upto) - F.floor(upto - F.col("part"))))
+    lacking = F.greatest(F.floor("target") - F.sum("quota").over(own), F.lit(0))
+    quota = quota.withColumn("lacking", lacking).withColumn("given", F.lit(0).cast("long"))
+    for lap in range(max_repeat):
+        room = F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("tokens") * (lap + 1) - F.col("quota")))
+        quota = quota.withColumn("room", room)
+        before = F.sum("room").over(own.orderBy("q_shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
+        part = F.greatest(F.lit(0), F.least(F.col("room"), F.col("lacking") - before))
+        quota = quota.withColumn("given", F.col("given") + part).withColumn("lacking", F.greatest(F.lit(0), F.col("lacking") - F.sum("room").over(own)))
+    quota = quota.withColumn("quota", F.col("quota") + F.col("given"))
     laid = rows.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     along = Window.partitionBy("source", "shard").orderBy("draw", "key", "size")
     laid = laid.withColumn("end", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)))

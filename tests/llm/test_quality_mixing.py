@@ -78,3 +78,20 @@ def test_mixing_edges(spark):
     assert mixing.mix(fixtures.empty(spark)).count() == 0
     nothing = mixing.mix(docs.where("text is null or text = ''")).collect()
     assert nothing and all(r.taken == 0 and r.target == 0 for r in nothing)
+
+
+def test_sources_below_half_a_block_get_their_words(spark):
+    rows = [(i, fixtures.prose(i, 40), "hot") for i in range(800)]
+    for k in range(40):  # a tail of 40 to 235 words a source
+        rows += [(1000 + 100 * k + i, fixtures.prose(1000 + k, 5), f"tail{k:02}") for i in range(8 + k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).toPandas().set_index("source")
+    small = by[by["max(target)"] < 128]
+    assert len(small) >= 5
+    assert (by["sum(taken)"] >= by["max(target)"].map(int)).all()
+    assert (by["sum(taken)"] <= by["max(target)"] + 128).all()
+    assert {r.source for r in mixing.mixed_documents(docs).select("source").distinct().collect()} == set(by.index)
+    weighted = mixing.mix(docs, share=0.3).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(int(r["max(target)"]) <= r["sum(taken)"] <= r["max(target)"] + 128 for r in weighted)
+    few = {r.source: r["sum(size)"] for r in mixing.mixed_documents(docs, share=0.3).withColumn("size", mixing.word_count("text")).groupBy("source").agg({"size": "sum"}).collect()}
+    assert all(abs(few.get(r.source, 0) - r["sum(taken)"]) <= 5 for r in weighted if r.source != "hot")
