@@ -2,35 +2,45 @@
 
 A document is its set of word shingles.  Equal sets are one entity from the start.  In each of TREES
 independent trees, entities branch on minwise values at one or two coordinates that the path chooses
-(4/3 on average, one over the least similarity); a node with more than LEAF entities branches again, down to
-DEPTH.  Nodes are then compared exhaustively: entities whose signatures agree enough
-are candidates, and every candidate link is confirmed on the full shingle sets.
-
-Links need not all be listed to find components, so this goes in two steps.  Each entity of a node is
-first tied to the one that resembles it most, which yields few pairs however large a group of copies
-is and finds the original that its copies resemble more than each other.  Then every pair that is still in different
-components is compared.  Nodes beyond
-BLOCK entities are compared block by block, so that a task holds two blocks at most and no pair is lost.
-
-A pair at the least similarity misses one tree with a chance of 0.188, 0.324, 0.428 or 0.509 at depth 1 to 4.  Trees share
-no minwise value, so seventeen leave 1.1e-5 unseen at depth 4 (5.5e-7 at depth 3); the signature filter misses one with
-a chance under 1e-5.
+(4/3 on average, one over the least similarity).  Small nodes are then compared exhaustively: entities whose sketches
+agree enough are candidates, and every candidate link is confirmed on the full shingle sets.
+
+Links need not all be listed to find components, so settled work is left out early:
+
+1. Each entity of a first-level node is tied to the one that resembles it most, in blocks of LEAF entities where the node is
+   larger.  This yields few pairs however large a group of copies is, and confirmed pairs make components.
+2. A node whose entities are all in one component is done.  A node is small if its pairs across components are at most
+   LEAF / 2 for each of its entities: it has at most LEAF entities, or all but LEAF are in one component.
+   Other nodes branch again, down to DEPTH, on further minwise values, which only their entities need.
+3. Every pair of a small or deepest node that is still in different components is compared, block against block, so that a task
+   holds two blocks at most and no pair is lost.
+
+A pair at the least similarity misses one tree with a chance of 0.188, 0.324, 0.428 or 0.509 at depth 1 to 4.  Trees and levels share
+no minwise value, so seventeen leave 1.1e-5 unseen at depth 4 (5.5e-7 at depth 3); the sketch filter misses one with
+a chance under 1e-5.  Nodes that stop branching early only raise these chances of being seen.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, stage, text_slices, word_spans
 from tessera.llm.components import components
 
 WIDTH, TREES, LEAF, DEPTH, BLOCK = 5, 17, 256, 4, 1024
-#: Minwise values of a set: two a level of each tree, shared with no other level or tree.  A node's low five bits are its tree.
-COORDS = 2 * DEPTH * TREES
+#: Minwise values of a set: two for each tree and level, shared with no other.  A node's low five bits are its tree.
+LEVEL = 2 * TREES
+COORDS = LEVEL * DEPTH
 _TREE = np.uint64(31)
+#: Trees whose large first-level nodes are searched for nearest partners; others find theirs across components only.
+NEAR_TREES = 8
+#: Tasks that share a node's rows where counts are joined to them.
+SALTS = 8
 #: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate's similarity as
 #: the sketches estimate it is at most DEVIATIONS standard deviations below the least similarity.
 BINS, LEAST, DEVIATIONS = 512, 0.75, 4.5
@@ -59,19 +69,26 @@ def _identity(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise values of non-empty sets, then their sketches, as bytes."""
+def minwise(sets: list[np.ndarray], level: int) -> np.ndarray:
+    """The level's minwise values of non-empty sets, two a tree."""
     flat = np.concatenate(sets)
     begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    out = np.empty((len(sets), COORDS), np.uint32)
-    for k in range(COORDS):
-        out[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), begin)
+    out = np.empty((len(sets), LEVEL), np.uint32)
+    for k in range(LEVEL):
+        at = level * LEVEL + k
+        out[:, k] = np.minimum.reduceat(((flat * _MUL[at] + _ADD[at]) >> np.uint64(32)).astype(np.uint32), begin)
+    return out
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The sketch of each non-empty set, two ranges a byte."""
+    flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     bins = (flat >> np.uint64(55)).astype(np.int64)
     least = np.concatenate([[True], (bins[1:] != bins[:-1]) | (owner[1:] != owner[:-1])])  # sets are sorted
     sketch = np.zeros((len(sets), BINS), np.uint8)
     sketch[owner[least], bins[least]] = (flat[least] >> np.uint64(40)) % np.uint64(15) + np.uint64(1)
-    return np.concatenate([out.view(np.uint8), sketch[:, ::2] | sketch[:, 1::2] << 4], axis=1)
+    return sketch[:, ::2] | sketch[:, 1::2] << 4
 
 
 def alike(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,33 +114,54 @@ def alike(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tup
     return share, sizes & (share >= LEAST - DEVIATIONS * spread)
 
 
-def entities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sid, n, sig) of each row: id, size and signature of its shingle set; sid 0 and no signature for empty ones."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+
+_SET_TYPES = "rid long, sid long, n long, sig binary, sketch binary"
+
+
+def entities(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
+    """(key, text, kept columns as `rest`, rid, sid, n, sig, sketch) of each row: a number of the row, and id, size, first-level
+    minwise values and sketch of its shingle set; sid 0 and no values for empty sets.
+
+    Row numbers hold for one evaluation: the caller writes the rows and reads them back.
+    """
+    columns = [F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")]
+    if keep:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"))
+    rows = df.select(*columns)
+    more = T.StructType.fromDDL(_SET_TYPES)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in text_slices(whole, 1):
                 sets = shingle_sets(batch.column(1))
-                full = [i for i, s in enumerate(sets) if len(s)]
-                sigs: list = [None] * len(sets)
+                full = [s for s in sets if len(s)]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                values: list = [[None] * len(sets), [None] * len(sets)]
                 if full:
-                    for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                        sigs[i] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_identity(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=["key", "sid", "n", "sig"])
+                    for column, found in zip(values, (minwise(full, 0), sketches(full)), strict=True):
+                        for i, row in zip(np.flatnonzero(sizes).tolist(), found, strict=True):
+                            column[i] = row.tobytes()
+                rid = np.arange(number, number + len(sets), dtype=np.int64)
+                number += len(sets)
+                own = [pa.array(rid), pa.array(_identity(sets)), pa.array(sizes), *[pa.array(v, pa.binary()) for v in values]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *more.names])
 
-    return rows.mapInArrow(run, "key long, sid long, n long, sig binary")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more.fields]))
 
 
-def _children(sig: np.ndarray, path: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of each row of signatures at its path: one of the level's two coordinates, both for a third of the paths."""
+def _children(sig: np.ndarray, path: np.ndarray, level: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) of each row of signatures at its path: one of the level's two coordinates, both for a third of the paths.
+
+    The rows of sig hold coordinates from `skip` on.
+    """
     draw = mix(path ^ np.uint64(level * 2 + 1))
-    pair = ((path & _TREE) * np.uint64(2 * DEPTH) + np.uint64(2 * level)).astype(np.int64)
+    pair = level * LEVEL - skip + 2 * (path & _TREE).astype(np.int64)
     turn = (draw & np.uint64(1)).astype(np.int64)
     twice = (draw >> np.uint64(40)) % np.uint64(3) == 0
     rows = np.arange(len(path))
     picked, at = np.concatenate([rows, rows[twice]]), np.concatenate([pair + turn, (pair + 1 - turn)[twice]])
-    child = mix(path[picked] ^ mix(sig[picked, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(33)) + np.uint64(1 << 40)))
+    child = mix(path[picked] ^ mix(sig[picked, at].astype(np.uint64) + ((at + skip).astype(np.uint64) << np.uint64(33)) + np.uint64(1 << 40)))
     return picked, (child & ~_TREE) | (path[picked] & _TREE)
 
 
@@ -132,18 +170,20 @@ def _root_paths() -> np.ndarray:
     return (mix((trees + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & ~_TREE) | trees
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
+def _table(column: pa.Array, width: int) -> np.ndarray:
     data, offsets = arrow_bytes(column)
-    return data.reshape(len(offsets) - 1, 4 * COORDS + BINS // 2)
+    return np.ascontiguousarray(data).reshape(len(offsets) - 1, width)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    packed = _bytes(column)[:, 4 * COORDS :]
-    return np.concatenate([packed & 15, packed >> 4], axis=1)
+def _values(column: pa.Array) -> np.ndarray:
+    return _table(column, 4 * LEVEL).view(np.uint32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.ascontiguousarray(_bytes(column)[:, : 4 * COORDS]).view(np.uint32)
+def _sketches(column: pa.Array) -> np.ndarray:
+    packed = _table(column, BINS // 2)
+    out = np.empty((len(packed), BINS), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
 
 
 def _roots(reps: DataFrame) -> DataFrame:
@@ -151,39 +191,39 @@ def _roots(reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sid, sig = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for root in roots:
-                picked, node = _children(sig, np.full(len(sid), root), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[picked]), pa.array(node.view(np.int64))], names=["sid", "node"])
+            if batch.num_rows:
+                sid, sig = batch.column(0).to_numpy(), _values(batch.column(1))
+                for root in roots:
+                    picked, node = _children(sig, np.full(len(sid), root), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[picked]), pa.array(node.view(np.int64))], names=["sid", "node"])
 
     return reps.select("sid", "sig").mapInArrow(run, "sid long, node long")
 
 
-def _branched(rows: DataFrame, level: int) -> DataFrame:
+def _branched(rows: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """(sid, comp, node): the children of rows (sid, comp, node), by the level's minwise values of texts (sid, text)."""
+
+    def values(batches):
+        for whole in batches:
+            for batch in text_slices(whole, 1):
+                sig = minwise(shingle_sets(batch.column(1)), level)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in sig], pa.binary())], names=["sid", "sig"])
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sid, node, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), _matrix(batch.column(2))
-            picked, child = _children(sig, node, level)
-            yield pa.RecordBatch.from_arrays([pa.array(sid[picked]), pa.array(child.view(np.int64))], names=["sid", "node"])
+            if batch.num_rows:
+                sid, comp, node = (batch.column(i).to_numpy() for i in range(3))
+                picked, child = _children(_values(batch.column(3)), node.view(np.uint64), level, level * LEVEL)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[picked]), pa.array(comp[picked]), pa.array(child.view(np.int64))], names=["sid", "comp", "node"])
 
-    return rows.select("sid", "node", "sig").mapInArrow(run, "sid long, node long")
+    found = stage(texts.mapInArrow(values, "sid long, sig binary"), "values")
+    return rows.join(found, "sid").select("sid", "comp", "node", "sig").mapInArrow(run, "sid long, comp long, node long")
 
 
-def nodes(reps: DataFrame) -> DataFrame:
-    """(sid, node, c): all nodes with two entities or more, c being their count; those above LEAF have branched DEPTH times."""
-    level, done = 0, None
-    rows = _roots(reps)
-    while True:
-        counts = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        level += 1
-        live = stage(rows.join(counts, "node").select("sid", "node", "c"), "nodes")
-        leaf = live if level == DEPTH else live.where(F.col("c") <= LEAF)
-        done = leaf if done is None else done.unionByName(leaf)
-        if level == DEPTH or not live.where(F.col("c") > LEAF).take(1):
-            return done
-        rows = _branched(live.where(F.col("c") > LEAF).join(reps.select("sid", "sig"), "sid"), level)
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows and the facts of their nodes; a node's rows are shared by SALTS tasks."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(salted, ["node", "salt"]).drop("salt")
 
 
 def _grouped(batches, width: int):
@@ -225,10 +265,12 @@ def _flushed(found, size: int = 50_000):
 
 
 def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): each entity with the one of its node (a block of it, if large) that it agrees with most, if enough."""
-    salt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / BLOCK))
-    rows = live.select(F.xxhash64("node", salt).alias("unit"), "sid").join(reps.select("sid", "n", "sig"), "sid")
-    rows = rows.select("unit", "sid", "n", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
+    """(a, b): each entity with the one of its node (a block of LEAF of it, if larger) that it agrees with most, if enough."""
+    blocks = F.ceil(F.col("c") / LEAF)
+    salt = F.pmod(F.xxhash64("sid", "node"), blocks)
+    tree = F.col("node").bitwiseAND(F.lit(int(_TREE)))
+    rows = live.where((F.col("c") <= LEAF) | (tree < NEAR_TREES)).select(F.xxhash64("node", salt).alias("unit"), "sid")
+    rows = rows.join(reps.select("sid", "n", "sketch"), "sid").select("unit", "sid", "n", "sketch").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
         for _, sid, n, sketch in _grouped(batches, 3):
@@ -244,23 +286,48 @@ def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
 
 
-def cross_pairs(live: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): all candidate pairs of a node that lie in different components, block against block, each in one node alone.
+def open_nodes(live: DataFrame, comp: DataFrame, texts) -> DataFrame:
+    """(sid, comp, node, c, top): the small and deepest nodes with two components or more; c counts the node's entities,
+    top is its largest component if c is above LEAF and all but about LEAF are in it.
+
+    live: (sid, node) of the first level; comp: (node, component); texts gives (sid, text) of the entities of some rows.
+    """
+    found = live.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    rows, done = found.select("sid", F.coalesce("component", "sid").alias("comp"), "node"), None
+    for level in range(DEPTH):
+        per = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
+        sums = per.groupBy("node").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count("*").alias("k"), F.max_by("comp", "m").alias("most"))
+        few = F.col("c") * F.col("c") - F.col("squares") <= F.col("c") * LEAF
+        facts = sums.where("k > 1").select("node", "c", F.when(F.col("c") <= LEAF, F.lit(None)).when(few, F.col("most")).alias("top"), (few | (F.col("c") <= LEAF)).alias("small"))
+        mixed = stage(_with_facts(rows, facts).select("sid", "comp", "node", "c", "top", "small"), "nodes")
+        last = level == DEPTH - 1
+        settled = (mixed if last else mixed.where("small")).drop("small")
+        done = settled if done is None else done.unionByName(settled)
+        large = mixed.where("not small")
+        if last or not large.take(1):
+            return done
+        rows = _branched(large.select("sid", "comp", "node"), texts(large), level + 1)
+
+
+def cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): all candidate pairs of a node of `open_nodes` that lie in different components, each in one node alone.
 
+    A large node with a top component compares the others with each of its blocks; any other large node compares block against block.
     A row knows all nodes of its entity (a few a tree), so that a pair is given by the first of the nodes that it shares.
     """
-    rows = live.join(comp, live.sid == comp.node, "left").select(live.sid, live.node, live.c, F.coalesce(comp.component, live.sid).alias("comp"))
-    mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = stage(rows.join(mixed, "node", "left_semi"), "mixed")
     places = rows.groupBy("sid").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    facts = reps.select("sid", "n", "sig").join(places, "sid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
-    rows = rows.select("sid", "comp", "own", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    unit = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    side = (F.col("own") > F.col("other")).cast("int") + F.when(F.col("own") == F.col("other"), 2).otherwise(0)
-    rows = rows.select(unit.alias("unit"), "node", "sid", "comp", side.alias("side")).join(facts, "sid")
-    rows = rows.select("unit", "node", "sid", "comp", "side", "n", "nodes", "sig").repartition("unit").sortWithinPartitions("unit", "sid")
+    facts = reps.select("sid", "n", "sketch").join(places, "sid")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    place = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    beside = F.transform(every, lambda o: place(F.least(own, o), F.greatest(own, o), F.when(own == o, 2).otherwise((own > o).cast("int"))))
+    others = F.concat(F.transform(every, lambda o: place(F.lit(-1), o, F.lit(0))), F.array(place(F.lit(-2), F.lit(0), F.lit(2))))
+    at = F.when(F.col("top").isNull(), beside).when(F.col("top") == F.col("comp"), F.array(place(F.lit(-1), own, F.lit(1)))).otherwise(others)
+    dealt = rows.select("sid", "comp", "node", F.explode(at).alias("at"))
+    unit: Column = F.xxhash64("node", "at.low", "at.high")
+    dealt = dealt.select(unit.alias("unit"), "node", "sid", "comp", F.col("at.side").alias("side")).join(facts, "sid")
+    dealt = dealt.select("unit", "node", "sid", "comp", "side", "n", "nodes", "sketch").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
         for _, node, sid, comp, side, n, nodes, sketch in _grouped(batches, 7):
@@ -280,13 +347,12 @@ def cross_pairs(live: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
                     if first.any():
                         yield sid[i[first]], sid[j[first]]
 
-    return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v) of the pairs whose full sets have 100 * intersection >= 75 * union.  texts: (sid, text)."""
-    used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    texts = stage(texts.join(used, "sid", "left_semi").select("sid", "text"), "texts")
+    texts = stage(texts, "texts")
     rows = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -307,33 +373,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (smallest key of the linked documents), kept; one row for each input row.
+def _classes(seen: DataFrame) -> DataFrame:
+    """(sid, component_id, first): of each non-empty set the smallest key and the first row of its component.
 
-    Null and empty texts have no shingles and link with nothing.  Repeated rows share a component.  A null key
-    has no component of its own name: its row is kept unless its text links it with others.
+    First is the row of the smallest key, rows without key coming last, and of the lowest row number among equal ones.
     """
-    seen = stage(entities(df, key, text), "entities")
-    full = seen.where("n > 0")
-    reps = stage(full.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("key").alias("key")), "sets")
-    live = nodes(reps)
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "rid")
+    full = seen.where("n > 0").select("key", "rid", "sid", "n", "sig", "sketch")
+    reps = stage(full.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min(order).alias("least")), "sets")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        wanted = reps.join(used, "sid", "left_semi").select("sid", "key")
-        return docs.join(wanted, "key").dropDuplicates(["sid"]).select("sid", "text")
+    def texts(sids: DataFrame) -> DataFrame:
+        wanted = reps.join(sids.distinct(), "sid", "left_semi").select("sid", F.col("least.rid").alias("rid"))
+        return seen.select("rid", "text").join(wanted, "rid").select("sid", "text")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+
+    rows = _roots(reps)
+    live = stage(_with_facts(rows, rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")).select("sid", "node", "c"), "nodes")
     first = stage(nearest_pairs(live, reps), "pairs")
-    links = stage(confirmed(first, texts(first)), "links")
+    links = stage(confirmed(first, texts(ends(first))), "links")
     comp = stage(components(links), "components")
-    more = stage(cross_pairs(live, reps, comp).join(first, ["a", "b"], "left_anti"), "pairs")
+    mixed = open_nodes(live.select("sid", "node"), comp, lambda rows: texts(rows.select("sid")))
+    more = stage(cross_pairs(mixed, reps).join(first, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
-        extra = stage(confirmed(more, texts(more)), "links")
+        extra = stage(confirmed(more, texts(ends(more))), "links")
         comp = stage(components(links.unionByName(extra)), "components")
-    named = reps.join(comp, reps.sid == comp.node, "left").select(reps.sid, reps.key, F.coalesce(comp.component, reps.sid).alias("comp"))
-    least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
-    named = named.join(least, "comp").select("sid", "component_id")
-    out = seen.join(named, "sid", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, component.isNull()).alias("kept"))
+    named = reps.join(comp, reps.sid == comp.node, "left").select(reps.sid, "least", F.coalesce(comp.component, reps.sid).alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least").alias("least"))
+    return named.select("sid", "comp").join(least, "comp").select("sid", F.col("least.key").alias("component_id"), F.col("least.rid").alias("first"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (smallest key of the linked documents), kept; one row for each input row.
+
+    Null and empty texts have no shingles and link with nothing; very long texts are taken whole, each as a step of its own.
+    Rows are told apart by themselves, not by key: rows that share a key, whatever their texts, and rows without key are linked by their
+    texts like any others.  Repeated rows share a component and are kept or not together.  A component
+    in which no row has a key has no id; its first row is kept.  Ties do not arise: every link counts.
+    Keys may be of any ordered type; other columns, whatever their names, are not looked at.  An empty table gives no rows.
+    """
+    seen = stage(entities(df, key, text, []), "entities")
+    rows = seen.select("key", "rid", "sid", "n")
+    full = rows.where("n > 0").join(_classes(seen), "sid")
+    kept = F.when(F.col("component_id").isNull(), F.col("rid") == F.col("first")).otherwise(F.col("key").eqNullSafe(F.col("component_id")))
+    name = F.col("key").alias(key)
+    linked = full.select(name, F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return linked.unionByName(rows.where("n = 0").select(name, F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows, one of each group of linked documents: the one of the smallest key, rows without key coming last.
+
+    Of rows with the same key and the same words one stays; rows of the same key and different texts stay apart.  Rows without a word all stay.
+    """
+    others = [c for c in df.columns if c not in (key, text)]
+    seen = stage(entities(df, key, text, others), "entities")
+    firsts = _classes(seen).select(F.col("first").alias("rid")).distinct()
+    rows = seen.where("n > 0").join(firsts, "rid", "left_semi").unionByName(seen.where("n = 0"))
+    at = {key: F.col("key"), text: F.col("text")} | {c: F.col("rest").getField(c) for c in others}
+    return rows.select(*[at[c].alias(c) for c in df.columns])

@@ -76,6 +76,63 @@ def test_large_nodes_are_compared_block_by_block(spark, monkeypatch):
     assert {g.doc_id: g.component_id for g in got} == brute(rows)[1]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 8, 13])
+def test_rows_are_linked_whatever_their_keys(spark, parts):
+    """Repeated keys with different texts, and rows without a key."""
+    one, two, three = (list(family(s, 4, 2)) for s in (1, 2, 3))
+    rows = [(1, one[0]), (1, two[0]), (5, two[1]), (6, one[1]), (7, two[2]), (None, three[0]), (None, three[1]), (None, one[2]), (9, ""), (9, None)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+    found = sorted(((g.doc_id, g.component_id, g.kept) for g in got.collect()), key=str)
+    want = [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (None, 1, False), (9, 9, True), (9, 9, True)]
+    assert [f for f in found if f[:2] != (None, None)] == sorted(want, key=str)
+    assert sorted(f[2] for f in found if f[:2] == (None, None)) == [False, True]
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = (list(family(s, 4, 2)) for s in (1, 2, 3))
+    rows = [("b", one[0], 1), ("a", one[1], 2), ("a", two[0], 3), ("c", two[0], 4), (None, one[2], 5), (None, three[0], 6), (None, three[1], 6), ("a", two[0], 3), ("d", "", 7), (None, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, sid int").repartition(4)
+    got = minhash_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.sid) for r in got.collect()), key=str) == sorted([("a", 2), ("a", 3), (None, 6), ("d", 7), (None, 8)], key=str)
+    assert {r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == {"a", "d", None}
+
+
+def test_mixed_nodes_branch_and_settled_ones_do_not(spark, monkeypatch):
+    """Copies of one text and many texts around one passage, with nodes far above LEAF."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "LEAF", 6)
+    passage = fixtures.prose(500, 120)
+    texts = list(family(40, 60, 2)) + [passage + " " + fixtures.prose(s, 70) for s in range(60)] + [passage + " " + t for s in range(5) for t in family(s, 5, 9, 60)]
+    rows = list(enumerate(texts))
+    levels = []
+    real = minhash_dedup._branched
+    monkeypatch.setattr(minhash_dedup, "_branched", lambda rows, texts, level: levels.append((level, rows.select("sid").distinct().count())) or real(rows, texts, level))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {g.doc_id: g.component_id for g in got} == brute(rows)[1]
+    assert levels and all(n <= 90 for _, n in levels)  # the sixty copies are one component and do not branch
+
+
+def test_recall_by_similarity(spark):
+    """Each pair is alone with its likes, so that a lost link shows."""
+    r, texts, bands = random.Random(11), [], {}
+    for i in range(600):
+        words = fixtures.prose(1000 + i, 200).split()
+        other = list(words)
+        for at in r.sample(range(200), i % 12):
+            other[at] = f"z{i}x{at}"
+        texts += [" ".join(words), " ".join(other)]
+    got = {g.doc_id: g.component_id for g in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    for i in range(0, len(texts), 2):
+        a, b = shingles(texts[i]), shingles(texts[i + 1])
+        alike = len(a & b) / len(a | b)
+        if alike >= 0.75:
+            bands.setdefault(int(alike * 20), []).append(got[i] == got[i + 1])
+        else:
+            assert got[i] != got[i + 1]
+    assert len(bands) >= 5 and all(sum(found) >= 0.99 * len(found) for found in bands.values())
+
+
 def test_pairs_at_the_least_similarity_share_a_deepest_node():
     """Pairs of signatures whose minwise values agree with a chance of 0.75 each, through all levels of all trees."""
     m, n, r = minhash_dedup, 200_000, np.random.default_rng(9)
