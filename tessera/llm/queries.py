@@ -97,5 +97,29 @@ FROM m
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS sh FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS q(i) WHERE len(ws) > 0),
+ n AS (SELECT d.r, d.doc_id, count(sh) AS n FROM d LEFT JOIN s USING (r) GROUP BY d.r, d.doc_id),
+ shared AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY a.r, b.r),
+ links AS (SELECT u, v FROM shared JOIN n x ON x.r = u JOIN n y ON y.r = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ reach AS (SELECT r, r AS other FROM n UNION SELECT reach.r, v FROM reach JOIN links ON reach.other = u)
+SELECT a.doc_id, a.n AS n_shingles, min(b.doc_id) AS component_id, a.doc_id = min(b.doc_id) AS kept
+FROM reach JOIN n a ON a.r = reach.r JOIN n b ON b.r = reach.other GROUP BY a.r, a.doc_id, a.n
+"""
+
+
+OP7_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ good AS (SELECT r, v FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.r AS u, b.r AS w FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+ degree AS (SELECT u AS r, count(*) AS n FROM links GROUP BY u),
+ reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, w FROM reach JOIN links ON reach.other = u)
+SELECT a.vec_id, coalesce(any_value(n), 0) AS n_links, min(b.vec_id) AS component_id, a.vec_id = min(b.vec_id) AS kept
+FROM reach JOIN e a ON a.r = reach.r JOIN e b ON b.r = reach.other LEFT JOIN degree ON degree.r = a.r GROUP BY a.r, a.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op5_quality": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op9_warc": OP9_SQL}
