@@ -3,6 +3,7 @@ import re
 
 import fixtures
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, quality
 
@@ -40,6 +41,34 @@ def test_order_is_by_rejection_per_cost_and_does_not_matter(spark):
     assert quality.measured(fixtures.empty(spark)).count() == 0
 
 
+def test_rules_after_a_rejection_are_not_evaluated(spark, monkeypatch):
+    """A metric that raises an error where it is evaluated: only texts that reach its rule may not be there."""
+    monkeypatch.setitem(quality.METRICS, "trap", lambda t: F.when(t.contains("trap"), F.raise_error(F.lit("evaluated")).cast("long")).otherwise(0))
+    good, symbols = fixtures.prose(1, 40), " ".join(f"#{i}$" for i in range(40))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([good, "few words trap", fixtures.prose(3, 10) + " trap " * 60, symbols + " trap"] * 3)], "doc_id long, text string")
+    trap = quality.Rule("trap", ("trap",), lambda n: n > 0)
+    monkeypatch.setattr(quality, "fit_order", lambda df, text, rules, **_: (*[r for r in rules if r.name != "trap"], trap))
+    assert quality.measured(docs, rules=(*quality.RULES, trap)).where("kept").count() == 3
+    monkeypatch.setattr(quality, "fit_order", lambda df, text, rules, **_: (trap, *[r for r in rules if r.name != "trap"]))
+    with pytest.raises(Exception, match="evaluated"):
+        quality.measured(docs, rules=(*quality.RULES, trap)).where("kept").count()
+
+
+def test_extra_metrics_are_not_projected(spark):
+    docs = spark.createDataFrame([(i, fixtures.prose(i, 40)) for i in range(20)], "doc_id long, text string")
+    plan = quality.measured(docs)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(x for x in plan.splitlines() if "Project" in x)
+    assert "[A-Z]" in top and "CASE WHEN" in top
+    assert all("[A-Z]" not in x for x in plan.splitlines() if x != top)
+    assert "[A-Z]" in top[top.index("CASE WHEN") :] and "[A-Z]" not in top[: top.index("CASE WHEN")]
+
+
+def test_a_text_repeated_without_end_is_sampled_row_by_row(spark):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'the same text again' as text")
+    assert 0 < quality._sample(docs, "text", 500).count() <= 1000
+    assert quality.keep_good(docs).count() == 0
+
+
 def filled(sizes, weights):
     """Targets by resharing until none is above its cap."""
     budget, caps = 1.5 * sum(sizes), [2 * s for s in sizes]
