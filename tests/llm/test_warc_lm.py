@@ -33,6 +33,26 @@ def test_warc_round_trip(spark):
     assert chunks.where("page_id = 0 and record_type = 'revisit'").first().data == b""
 
 
+def test_warc_keys_repeat_and_payloads_are_chunked(spark):
+    long = "é" * 300_000
+    rows = [("a%41 é", "u", long), ("a%41 é", "u", "x" * 1500), (None, None, long), ("z", "u", long), ("z", "u", long), ("q", None, ""), ("q", None, None), (None, None, None)]
+    chunks = warc.read(warc.write(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3), chunk=50_000), chunk=60_000, key_type="string")
+    assert chunks.groupBy("record_id", "chunk_no").count().where("count > 1").count() == 0
+    assert chunks.select("record_id").distinct().count() == len(rows)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.index(chunks).collect()), key=str)
+    want = [("a%41 é", 600_000, "revisit", "z"), ("a%41 é", 1500, "response", None), (None, 600_000, "revisit", "z"), ("z", 600_000, "response", None), ("z", 600_000, "response", None)]
+    assert got == sorted([*want, ("q", 0, "response", None), ("q", 0, "response", None), (None, 0, "response", None)], key=str)
+    with pytest.raises(Exception, match="no response"):
+        warc.index(chunks.where("page_id is null or page_id <> 'z'")).collect()
+
+
+def test_warc_payload_must_match_its_header():
+    good = warc._head("response", "1", None, hashlib.sha1(b"abc").hexdigest(), 3, None, 3 + len(warc._HTTP)) + warc._HTTP + b"abc\r\n\r\n"
+    assert [r["sha1_so_far"] for r in warc.parsed(io.BytesIO(zlib.compress(good, wbits=31)), 10)] == [hashlib.sha1(b"abc").hexdigest()]
+    with pytest.raises(ValueError, match="header"):
+        list(warc.parsed(io.BytesIO(zlib.compress(good.replace(b"abc", b"abd"), wbits=31)), 10))
+
+
 def test_warc_edges(spark):
     assert warc.index(warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
     with pytest.raises(ValueError):
