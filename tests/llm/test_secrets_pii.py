@@ -106,6 +106,32 @@ def test_pii_edges_and_method(spark):
     assert any("name:" in r.spans for r in rows) and any("account:" in r.spans for r in rows)
 
 
+def test_names_without_a_title_are_proposed():
+    text = "Yesterday Mary Jones met Dr. Ann Lee and Chloé Dupont in New York; Peter left."
+    got = [text[s:e] for s, k, e in pii.candidates(text, []) if k == "name"]
+    assert got == ["Mary Jones", "Dr. Ann Lee", "Chloé Dupont"]
+
+
+def test_names_of_the_gazetteer_become_spans(spark):
+    texts = [f"The letter was signed by {a} {b} in spring." for a in ("Mary", "John", "Elena") for b in ("Jones", "Miller", "Okafor")] * 4 + ["order 212-555-0187 on page 7"] * 9
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(("name:25:" in r.spans) == (r.doc_id < 36) for r in rows)
+
+
+def test_wrong_base_spans_count_against_labelers():
+    """Half of the numbers that pass Luhn by chance lie after words like "order": they are not taken for sure."""
+    against, for_it = 1 * 81 + 2 * 27 + 0 * 9 + 0 * 3 + 2, 1 * 81 + 1 * 27 + 0 * 9 + 1 * 3
+    soft, _ = pii.estimate([("card", for_it, 0, 300), ("card", against, 0, 300)])
+    assert soft[f"card:{against}:0"] < soft[f"card:{for_it}:0"] and soft[f"card:{for_it}:0"] > 0.9
+
+
+def test_classifier_sees_more_than_votes():
+    """Soft labels that go with the character before a candidate."""
+    votes = 1 * 27 + 1 * 3
+    inside, apart = pii.look("ab212-555-0187 ", 2, 14), pii.look("a 212-555-0187 ", 2, 14)
+    assert inside != apart and (pii._features([("local_phone", votes, inside)]) != pii._features([("local_phone", votes, apart)])).any()
+
+
 def test_em_ranks_a_good_labeler_above_a_bad_one():
     good, bad = 1 * 81 + 1 * 27 + 1 * 9, 2 * 81 + 2 * 27
     soft, rates = pii.estimate([("name", good, 1, 80), ("name", bad, 1, 80), ("card", good, 1, 50)])
