@@ -84,6 +84,36 @@ def filled(sizes, weights):
         capped |= over
 
 
+def by_quotients(votes, most, house):
+    """Sainte-Lague by listing all quotients."""
+    listed = sorted((-v / (2 * k + 1), i, k) for i, (v, m) in enumerate(zip(votes, most, strict=True)) for k in range(min(m, house)))[:house]
+    return [sum(i == j for _, i, _ in listed) for j in range(len(votes))]
+
+
+def test_apportionment_by_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    cases = [([9_000_000.0] + [1000.0] * 1000, [10**6] * 1001, 1000), ([5.0, 5.0, 5.0], [9, 9, 9], 4), ([0.0, 0.0], [0, 0], 0), ([1.0] * 7, [1] * 7, 7), ([8.0, 1.0, 1.0], [3, 9, 9], 9)]
+    cases += [([float(r.choice([1, 3, 50, 900])) for _ in range(n)], [r.randrange(1, 40) for _ in range(n)], r.randrange(0, 3 * n)) for n in (1, 4, 30, 60)]
+    parties = [(g, i, v, m) for g, (votes, most, _) in enumerate(cases) for i, (v, m) in enumerate(zip(votes, most, strict=True))]
+    houses = spark.createDataFrame([(g, min(h, sum(most))) for g, (_, most, h) in enumerate(cases)], "group int, house long")
+    got = mixing.apportioned(spark.createDataFrame(parties, "group int, party int, votes double, most long").repartition(5), houses).collect()
+    seats = {(x.group, x.party): x.seats for x in got}
+    assert len(seats) == len(got) == len(parties)
+    for g, (votes, most, house) in enumerate(cases):
+        assert [seats[g, i] for i in range(len(votes))] == by_quotients(votes, most, min(house, sum(most))), g
+
+
+def test_one_key_of_many_rows_is_dealt_out(spark):
+    rows = [(7, "five words in each text", "hot")] * 3000 + [(i, fixtures.prose(i, 20), "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(docs, docs_per_shard=50)
+    assert got.count() == len(rows)
+    by = {r.source: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(r.taken - r.target) <= 256 for r in by.values())
+
+
 def test_targets_and_quotas(spark):
     rows = [(i, fixtures.prose(i, 5 + i % 90), f"src{i % 7}" if i % 11 else None) for i in range(900)] + [(900 + i, fixtures.prose(i, 60), "src0") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
