@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
+#: Edges that one task finishes, which bounds its memory; more take rounds over all tasks.
+FEW = 500_000
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for all nodes of some edges, by union-find."""
@@ -60,13 +63,16 @@ def _contract(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (u, v) reaches; one row a node.
 
-    Edges first shrink within partitions, then large-star and small-star steps alternate
+    Edges first shrink within partitions.  If at most FEW are left, one task finishes them; else large-star and small-star steps alternate
     until each node points at its component's smallest; each round is a table in the shared folder.  Loops and repeated edges do no harm; no
     edges give no rows.
     """
     plain = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     stars = stage(_contract(plain).distinct(), "edges")
-    while not _settled(stars):
+    few = stars.count() <= FEW
+    if few:
+        stars = stage(_contract(stars.repartition(1)), "edges")
+    while not few and not _settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")

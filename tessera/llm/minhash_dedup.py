@@ -7,8 +7,8 @@ agree enough are candidates, and every candidate link is confirmed on the full s
 
 Links need not all be listed to find components, so settled work is left out early:
 
-1. Each entity of a first-level node is tied to the one that resembles it most, in blocks of LEAF entities where the node is
-   larger.  This yields few pairs however large a group of copies is, and confirmed pairs make components.
+1. Each entity of a first-level node finds the one that resembles it most, in blocks of LEAF entities where the node is
+   larger, and is tied to the best NEAREST of them.  These are few pairs however large a group of copies is, and confirmed ones make components.
 2. A node whose entities are all in one component is done.  A node is small if its pairs across components are at most
    LEAF / 2 for each of its entities: it has at most LEAF entities, or all but LEAF are in one component.
    Other nodes branch again, down to DEPTH, on further minwise values, which only their entities need.
@@ -33,14 +33,18 @@ from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, sta
 from tessera.llm.components import components
 
 WIDTH, TREES, LEAF, DEPTH, BLOCK = 5, 17, 256, 4, 1024
+#: Bytes of text of a vectorised step; a longer text is a step of its own.
+SLICE = 512 << 10
 #: Minwise values of a set: two for each tree and level, shared with no other.  A node's low five bits are its tree.
 LEVEL = 2 * TREES
 COORDS = LEVEL * DEPTH
 _TREE = np.uint64(31)
 #: Trees whose large first-level nodes are searched for nearest partners; others find theirs across components only.
 NEAR_TREES = 8
+#: Partners of an entity to confirm at first, the most similar ones of all its nodes; step 3 compares with all others.
+NEAREST = 3
 #: Tasks that share a node's rows where counts are joined to them.
-SALTS = 8
+SALTS = 4
 #: A sketch has the least hash of each of BINS ranges of hashes, in four bits (0: none).  A candidate's similarity as
 #: the sketches estimate it is at most DEVIATIONS standard deviations below the least similarity.
 BINS, LEAST, DEVIATIONS = 512, 0.75, 4.5
@@ -133,7 +137,7 @@ def entities(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, SLICE):
                 sets = shingle_sets(batch.column(1))
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -200,24 +204,32 @@ def _roots(reps: DataFrame) -> DataFrame:
     return reps.select("sid", "sig").mapInArrow(run, "sid long, node long")
 
 
-def _branched(rows: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """(sid, comp, node): the children of rows (sid, comp, node), by the level's minwise values of texts (sid, text)."""
+def deeper_values(texts: DataFrame) -> DataFrame:
+    """(sid, sig): the minwise values of the levels after the first, of texts (sid, text)."""
 
-    def values(batches):
+    def run(batches):
         for whole in batches:
-            for batch in text_slices(whole, 1):
-                sig = minwise(shingle_sets(batch.column(1)), level)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in sig], pa.binary())], names=["sid", "sig"])
+            for batch in text_slices(whole, 1, SLICE):
+                sets = shingle_sets(batch.column(1))
+                if sets:
+                    sig = np.concatenate([minwise(sets, level) for level in range(1, DEPTH)], axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in sig], pa.binary())], names=["sid", "sig"])
+
+    return texts.mapInArrow(run, "sid long, sig binary")
+
+
+def _branched(rows: DataFrame, values: DataFrame, level: int) -> DataFrame:
+    """(sid, comp, node): the children of rows (sid, comp, node), by the level's minwise values."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 sid, comp, node = (batch.column(i).to_numpy() for i in range(3))
-                picked, child = _children(_values(batch.column(3)), node.view(np.uint64), level, level * LEVEL)
+                sig = _table(batch.column(3), 4 * LEVEL * (DEPTH - 1)).view(np.uint32)
+                picked, child = _children(sig, node.view(np.uint64), level, LEVEL)
                 yield pa.RecordBatch.from_arrays([pa.array(sid[picked]), pa.array(comp[picked]), pa.array(child.view(np.int64))], names=["sid", "comp", "node"])
 
-    found = stage(texts.mapInArrow(values, "sid long, sig binary"), "values")
-    return rows.join(found, "sid").select("sid", "comp", "node", "sig").mapInArrow(run, "sid long, comp long, node long")
+    return rows.join(values, "sid").select("sid", "comp", "node", "sig").mapInArrow(run, "sid long, comp long, node long")
 
 
 def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -244,28 +256,26 @@ def _grouped(batches, width: int):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
 
 
-def _pairs_out(a: list, b: list):
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _flushed(found, size: int = 50_000):
-    a: list = []
-    b: list = []
+def _flushed(found, names: tuple[str, ...], size: int = 50_000):
+    """Batches of about `size` rows of the columns that `found` gives piece by piece."""
+    held: list = []
     n = 0
-    for x, y in found:
-        a.append(x)
-        b.append(y)
-        n += len(x)
+    for piece in found:
+        held.append(piece)
+        n += len(piece[0])
         if n >= size:
-            yield _pairs_out(a, b)
-            a, b, n = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            held, n = [], 0
     if n:
-        yield _pairs_out(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def _ordered_pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): each entity with the one of its node (a block of LEAF of it, if larger) that it agrees with most, if enough."""
+    """(a, b): each entity with the NEAREST best of those that it agrees with most in its nodes (in a block of LEAF of a larger one)."""
     blocks = F.ceil(F.col("c") / LEAF)
     salt = F.pmod(F.xxhash64("sid", "node"), blocks)
     tree = F.col("node").bitwiseAND(F.lit(int(_TREE)))
@@ -279,18 +289,21 @@ def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
                 share, candidate = alike(sketch[part], n[part], sketch, n)
                 share = np.where(candidate & (sid[part, None] != sid[None, :]), share, -1)
                 best = share.argmax(1)
-                good = np.flatnonzero(share[np.arange(len(best)), best] >= 0)
+                most = share[np.arange(len(best)), best]
+                good = np.flatnonzero(most >= 0)
                 if len(good):
-                    yield sid[part][good], sid[best[good]]
+                    yield sid[part][good], sid[best[good]], most[good].astype(np.float64)
 
-    return rows.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
+    found = rows.mapInArrow(lambda b: _flushed(compared(b), ("a", "b", "share")), "a long, b long, share double")
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("less"), "b"))), 1, NEAREST)  # of a few nodes a tree
+    return _ordered_pairs(found.groupBy("a").agg(F.explode(best).alias("best")).select("a", "best.b"))
 
 
-def open_nodes(live: DataFrame, comp: DataFrame, texts) -> DataFrame:
+def open_nodes(live: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
     """(sid, comp, node, c, top): the small and deepest nodes with two components or more; c counts the node's entities,
     top is its largest component if c is above LEAF and all but about LEAF are in it.
 
-    live: (sid, node) of the first level; comp: (node, component); texts gives (sid, text) of the entities of some rows.
+    live: (sid, node) of the first level; comp: (node, component); texts: (sid, text) of those in large nodes, at least.
     """
     found = live.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left")
     rows, done = found.select("sid", F.coalesce("component", "sid").alias("comp"), "node"), None
@@ -306,7 +319,9 @@ def open_nodes(live: DataFrame, comp: DataFrame, texts) -> DataFrame:
         large = mixed.where("not small")
         if last or not large.take(1):
             return done
-        rows = _branched(large.select("sid", "comp", "node"), texts(large), level + 1)
+        if not level:
+            values = stage(deeper_values(texts.join(large.select("sid").distinct(), "sid", "left_semi").select("sid", "text")), "values")
+        rows = _branched(large.select("sid", "comp", "node"), values, level + 1)
 
 
 def cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -347,18 +362,17 @@ def cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
                     if first.any():
                         yield sid[i[first]], sid[j[first]]
 
-    return dealt.mapInArrow(lambda b: _flushed(compared(b)), "a long, b long").where("a <> b").distinct()
+    return _ordered_pairs(dealt.mapInArrow(lambda b: _flushed(compared(b), ("a", "b")), "a long, b long"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v) of the pairs whose full sets have 100 * intersection >= 75 * union.  texts: (sid, text)."""
-    texts = stage(texts, "texts")
     rows = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         last: tuple = (None, None)
         for whole in batches:
-            for batch in text_slices(whole, 2):
+            for batch in text_slices(whole, 2, SLICE):
                 ids, others = batch.column(0).to_numpy(), shingle_sets(batch.column(3))
                 keep = []
                 for i in range(batch.num_rows):
@@ -382,23 +396,19 @@ def _classes(seen: DataFrame) -> DataFrame:
     full = seen.where("n > 0").select("key", "rid", "sid", "n", "sig", "sketch")
     reps = stage(full.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min(order).alias("least")), "sets")
 
-    def texts(sids: DataFrame) -> DataFrame:
-        wanted = reps.join(sids.distinct(), "sid", "left_semi").select("sid", F.col("least.rid").alias("rid"))
-        return seen.select("rid", "text").join(wanted, "rid").select("sid", "text")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-
     rows = _roots(reps)
     live = stage(_with_facts(rows, rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")).select("sid", "node", "c"), "nodes")
     first = stage(nearest_pairs(live, reps), "pairs")
-    links = stage(confirmed(first, texts(ends(first))), "links")
+    # Whoever has a candidate anywhere has one in `first` or lies in a large node, so these are all texts that will be needed.
+    used = first.select(F.col("a").alias("sid")).unionByName(first.select(F.col("b").alias("sid"))).unionByName(live.where(F.col("c") > LEAF).select("sid"))
+    wanted = reps.join(used.distinct(), "sid", "left_semi").select("sid", F.col("least.rid").alias("rid"))
+    texts = stage(seen.select("rid", "text").join(wanted, "rid").select("sid", "text"), "texts")
+    links = stage(confirmed(first, texts), "links")
     comp = stage(components(links), "components")
-    mixed = open_nodes(live.select("sid", "node"), comp, lambda rows: texts(rows.select("sid")))
+    mixed = open_nodes(live.select("sid", "node"), comp, texts)
     more = stage(cross_pairs(mixed, reps).join(first, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
-        extra = stage(confirmed(more, texts(ends(more))), "links")
-        comp = stage(components(links.unionByName(extra)), "components")
+        comp = stage(components(links.unionByName(stage(confirmed(more, texts), "links"))), "components")
     named = reps.join(comp, reps.sid == comp.node, "left").select(reps.sid, "least", F.coalesce(comp.component, reps.sid).alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("least"))
     return named.select("sid", "comp").join(least, "comp").select("sid", F.col("least.key").alias("component_id"), F.col("least.rid").alias("first"))

@@ -5,6 +5,7 @@ import fixtures
 import numpy as np
 import pytest
 
+from tessera.llm import components as components_module
 from tessera.llm import embedding_dedup, minhash_dedup
 from tessera.llm.components import components
 
@@ -23,8 +24,10 @@ def smallest_reachable(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     r = random.Random(5)
     edges = {"path": [(i, i + 1) for i in range(300)], "star": [(7, i) for i in range(300)], "random": [(r.randrange(400), r.randrange(400)) for _ in range(250)], "none": []}[shape]
     edges += [(5, 5), (5, 5)] if edges else []
@@ -107,7 +110,7 @@ def test_mixed_nodes_branch_and_settled_ones_do_not(spark, monkeypatch):
     rows = list(enumerate(texts))
     levels = []
     real = minhash_dedup._branched
-    monkeypatch.setattr(minhash_dedup, "_branched", lambda rows, texts, level: levels.append((level, rows.select("sid").distinct().count())) or real(rows, texts, level))
+    monkeypatch.setattr(minhash_dedup, "_branched", lambda rows, values, level: levels.append((level, rows.select("sid").distinct().count())) or real(rows, values, level))
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {g.doc_id: g.component_id for g in got} == brute(rows)[1]
     assert levels and all(n <= 90 for _, n in levels)  # the sixty copies are one component and do not branch
@@ -196,6 +199,40 @@ def test_vectors_by_brute_force(spark, monkeypatch):
         assert g.component_id == want.get(i, g.vec_id)
 
 
+def test_only_near_intervals_meet(spark, monkeypatch):
+    """Clusters far apart: few of all pairs of intervals are left before vectors move."""
+    monkeypatch.setattr(embedding_dedup, "INTERVAL", 64)
+    monkeypatch.setattr(embedding_dedup, "INTERVAL_BYTES", 64 * 12 * 4)
+    monkeypatch.setattr(embedding_dedup, "PART", 16)
+    seen, real = [], embedding_dedup.near_intervals
+
+    def counted(boxes, eps, axes):
+        out = real(boxes, eps, axes)
+        seen.append((boxes.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "near_intervals", counted)
+    for clusters in (16, 64):
+        r = np.random.default_rng(7)
+        centres = []
+        while len(centres) < clusters:
+            c = r.normal(size=12)
+            c /= np.linalg.norm(c)
+            if all(c @ o < 0.7 for o in centres):
+                centres.append(c)
+        x = np.concatenate([c + r.normal(size=(64, 12)) * 0.01 for c in centres]).astype(np.float32)
+        got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4))
+        assert {(r.component_id, r.n_links) for r in got.collect()} == {(64 * k, 63) for k in range(clusters)}
+    (a, near_a), (b, near_b) = seen
+    assert b >= 3 * a and near_a < a * (a + 1) / 4 and near_b < b * (b + 1) / 6
+
+
+def test_vectors_of_any_key(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("a", [0.0, 1.0]), (None, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([("a", 1, "a", True), ("a", 1, "a", True), ("b", 1, "a", False), (None, 1, "a", False), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
 def test_vector_edges(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(none).count() == 0
