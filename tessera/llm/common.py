@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,24 @@ def opened(uri: str, mode: str):
     return system.open_input_stream(path, compression=None) if mode == "rb" else system.open_input_file(path)
 
 
+@contextmanager
+def published(uri: str):
+    """A stream whose file appears under its name, whole, when the block ends well.  A file that another try of the task left stays or is replaced."""
+    from pyarrow import fs
+
+    part = f"{uri}.{uuid.uuid4().hex}"
+    with opened(part, "wb") as out:
+        yield out
+    system, path = fs.FileSystem.from_uri(part)
+    name = path.removesuffix(part[len(uri) :])
+    try:
+        system.move(path, name)
+    except OSError:
+        if system.get_file_info(name).type != fs.FileType.File:
+            raise
+        system.delete_file(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder; the driver's JVM deletes it at its end."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -27,6 +27,7 @@ class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.low_bits = (int(x) for x in parts["meta"][:2])
         self.lows, self.highs, self.zeros = parts["lows"], parts["highs"], parts["zeros"]
+        self._ones: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray, bound: int) -> dict[str, np.ndarray]:
@@ -70,9 +71,10 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        word = np.searchsorted(ones, i, "right") - 1
-        at = word * 64 + _ones_before(self.highs[word], i - ones[word])
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        word = np.searchsorted(self._ones, i, "right") - 1
+        at = word * 64 + _ones_before(self.highs[word], i - self._ones[word])
         return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def all(self) -> np.ndarray:

@@ -1,13 +1,17 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The trie has a level per n-gram length.  Level 1 is the vocabulary (words by 64-bit hash; a word's id is its rank); an entry of
-level k is its parent's position on level k-1 times the vocabulary plus a word's id, so the children of a context are
+level k is its parent's place on level k-1 times the vocabulary plus a word's id, so the children of a context are
 one ascending run.  Keys and the pointers to those runs are Elias-Fano sequences; discounted relative frequencies and
-back-off weights are 16-bit logarithms.  All lies in files of the shared folder, a file per level and shard
-(the first word's hash decides the shard), which scoring tasks map into memory.
+back-off weights are 16-bit logarithms.  All lies in files of the shared folder, a file per level and shard, which scoring tasks map into memory.
+
+The first word's hash decides the shard of an n-gram.  A word that makes up more of the corpus than a shard does is spread over as many
+shards as it would fill, by the hash of the word after it, so that frequent words crowd no task or file.
 
 Counts come from all training texts: tasks count their part, send each shard's keys Elias-Fano coded with their
-counts, and one task a shard adds them up.  Probabilities interpolate absolutely discounted frequencies:
+counts, and one task a shard adds them up.  With more than FAN shards, tasks send FAN bundles instead, which others merge and split by shard,
+so that the number of rows sent does not grow with tasks times shards.
+Probabilities interpolate absolutely discounted frequencies:
 P(w | c) = max(count - D, 0) / total + D * successors / total * P(w | shorter c).
 """
 
@@ -16,30 +20,37 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections import OrderedDict
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_bytes, drop_clashing, hash_spans, mix, new_folder, opened, stage, text_slices, word_spans
+from tessera.llm.common import arrow_bytes, drop_clashing, hash_spans, mix, new_folder, opened, published, stage, text_slices, word_spans
 from tessera.llm.elias_fano import EliasFano
 
-ORDER, DISCOUNT, SHARD_BYTES, LEAST_SHARDS = 2, 0.75, 24 << 20, 16
+ORDER, DISCOUNT, SHARD_BYTES, LEAST_SHARDS = 3, 0.75, 24 << 20, 16
+#: Shards to which a task sends by itself.
+FAN = 256
 #: Steps of the 16-bit logarithms, and n-grams that a counting task holds before it sends them.
 STEPS, HELD = 4096, 2_000_000
 ADDED = 0.1
 END = mix(np.array([0x454E44], np.uint64))[0]
 _EF = ("meta", "lows", "highs", "zeros")
+#: Files that a worker keeps open, and bytes of those that cannot be mapped.
+OPEN_FILES, HELD_BYTES = 4096, 256 << 20
+_open: OrderedDict[str, dict | None] = OrderedDict()
 
 
 @dataclass(frozen=True)
 class Trie:
-    """files[level - 1][shard], entries of level 1 by shard, training tokens."""
+    """Where its files lie, its order, the entries of level 1 by shard (a number a shard) and the training tokens."""
 
-    files: tuple[tuple[str | None, ...], ...]
+    folder: str
+    order: int
     words: tuple[int, ...]
     tokens: int
 
@@ -51,6 +62,9 @@ class Trie:
     def shift(self) -> int:
         return 64 - (len(self.words).bit_length() - 1)
 
+    def file(self, level: int | str, shard: int) -> str:
+        return f"{self.folder}/{level}-{shard}.trie"
+
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     head, at = {}, 0
@@ -59,7 +73,7 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
         at += -(-a.nbytes // 8) * 8
     top = json.dumps(head).encode()
     top += b" " * (-(len(top) + 8) % 8)
-    with opened(uri, "wb") as out:
+    with published(uri) as out:
         out.write(len(top).to_bytes(8, "little") + top)
         for a in arrays.values():
             raw = np.ascontiguousarray(a).tobytes()
@@ -68,19 +82,34 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
 
 def load(uri: str) -> dict[str, np.ndarray]:
     """A file's arrays, mapped into memory where the shared folder is a mounted one, else read."""
-    raw = np.memmap(uri.removeprefix("file://"), np.uint8, "r") if uri.startswith("file://") else np.frombuffer(opened(uri, "rb").read(), np.uint8)
+    raw = np.asarray(np.memmap(uri.removeprefix("file://"), np.uint8, "r")) if uri.startswith("file://") else np.frombuffer(opened(uri, "rb").read(), np.uint8)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}
 
 
-@lru_cache(maxsize=4096)
-def _level(uri: str) -> dict:
-    a = load(uri)
-    out = {k: v for k, v in a.items() if "." not in k}
-    for name in {k.split(".")[0] for k in a if "." in k}:
-        out[name] = EliasFano({p: a[f"{name}.{p}"] for p in _EF})
-    return out
+def _bytes(level: dict | None) -> int:
+    return 0 if level is None else level["bytes"]
+
+
+def _level(uri: str) -> dict | None:
+    """A file's arrays and sequences; None where there is no such file, as no n-gram fell into the shard."""
+    if uri not in _open:
+        try:
+            a = load(uri)
+        except FileNotFoundError:
+            a = None
+        out = None
+        if a is not None:
+            out = {k: v for k, v in a.items() if "." not in k}
+            for name in {k.split(".")[0] for k in a if "." in k}:
+                out[name] = EliasFano({p: a[f"{name}.{p}"] for p in _EF})
+            out["bytes"] = 0 if uri.startswith("file://") else sum(v.nbytes for v in a.values())
+        _open[uri] = out
+        while len(_open) > OPEN_FILES or len(_open) > 1 and sum(map(_bytes, _open.values())) > HELD_BYTES:
+            _open.popitem(last=False)
+    _open.move_to_end(uri)
+    return _open[uri]
 
 
 def _coded(name: str, values: np.ndarray, bound: int) -> dict[str, np.ndarray]:
@@ -109,63 +138,94 @@ def _by_shard(sorted_shards: np.ndarray):
             yield int(sorted_shards[lo]), slice(lo, hi)
 
 
-def look_up(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id (-1: not in training) and count of each word."""
+def _word_shards(trie: Trie, hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(trie.shift)).astype(np.int64) if len(trie.words) > 1 else np.zeros(len(hashes), np.int64)
+
+
+def look_up(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id (-1: not in training), count and back-off weight (1: none yet) of each word."""
     some, back = np.unique(hashes, return_inverse=True)
-    ids, counts = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
+    ids, counts, weights = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64), np.ones(len(some))
     base = np.concatenate([[0], np.cumsum(trie.words)])
-    shards = some >> np.uint64(trie.shift) if len(trie.words) > 1 else np.zeros(len(some), np.uint64)
-    for shard, part in _by_shard(shards):
-        if trie.files[0][shard]:
-            level = _level(trie.files[0][shard])
+    for shard, part in _by_shard(_word_shards(trie, some)):
+        if trie.words[shard]:
+            level = _level(trie.file(1, shard))
             at = level["keys"].find(some[part] - np.uint64(shard << trie.shift if len(trie.words) > 1 else 0))
             ids[part] = np.where(at >= 0, at + base[shard], -1)
             counts[part] = np.where(at >= 0, level["counts"][np.maximum(at, 0)], 0)
-    return ids[back], counts[back]
+            if trie.order > 1:
+                more = _level(trie.file("weights", shard))
+                weights[part] = np.where(at >= 0, 10.0 ** (more["backoffs"][np.maximum(at, 0)] / -float(STEPS)), 1.0)
+    return ids[back], counts[back], weights[back]
+
+
+def _pair_shards(trie: Trie, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shard of the n-grams that begin at each word but the last; words above a shard's share are spread by their follower."""
+    shards = len(trie.words)
+    spread = np.ceil(np.log2(np.maximum(1.0, counts[:-1] * (shards / max(1, trie.tokens))))).astype(np.uint64)
+    spread = np.minimum(spread, np.uint64(shards.bit_length() - 1))
+    inside = mix(hashes[1:]) & ((np.uint64(1) << spread) - np.uint64(1))
+    return (_word_shards(trie, hashes[:-1]) + inside.astype(np.int64)) & (shards - 1)
+
+
+def _by_query(shard: np.ndarray, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by shard, parent and word."""
+    word = word + 1
+    a, b = int(parent.max()) + 1, int(word.max()) + 1
+    if (int(shard.max()) + 1) * a * b < 1 << 63:
+        return np.argsort((shard * a + parent) * b + word)
+    return np.lexsort((word, parent, shard))
 
 
 def _children(trie: Trie, level: int, shard: np.ndarray, parent: np.ndarray, word: np.ndarray):
-    """Of parents on the level above and words: the child's position or -1, its frequency, and the parent's back-off weight (1: no child)."""
+    """Of parents (words' ids on level 2, else places on the level above) and words: the child's place or -1, its frequency, and the
+    parent's back-off weight (1: no child, or level 2, where it lies with the words)."""
     at, rel, weight = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
     known = np.flatnonzero(parent >= 0)
     if not len(known):
         return at, rel, weight
     vocabulary = trie.vocabulary
-    order = known[np.lexsort((word[known], parent[known], shard[known]))]
+    order = known[_by_query(shard[known], parent[known], word[known])]
     for s, part in _by_shard(shard[order]):
-        if not trie.files[level - 1][s]:
+        own = _level(trie.file(level, s))
+        if own is None:
             continue
         rows = order[part]
-        own = _level(trie.files[level - 1][s])
         p, w = parent[rows], word[rows]
         fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])  # equal queries are made once
         group = np.cumsum(fresh) - 1
         p, w = p[fresh], w[fresh]
-        begin, end = own["pointers"].get(p).astype(np.int64), own["pointers"].get(p + 1).astype(np.int64)
+        if level == 2:
+            p = own["contexts"].find(p.astype(np.uint64))
+        live = np.flatnonzero(p >= 0)
+        begin, end = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        begin[live], end[live] = own["pointers"].get(p[live]).astype(np.int64), own["pointers"].get(p[live] + 1).astype(np.int64)
         found = np.full(len(p), -1, np.int64)
         live = np.flatnonzero((begin < end) & (w >= 0))
         found[live] = own["keys"].find(p[live].astype(np.uint64) * np.uint64(vocabulary) + w[live].astype(np.uint64), begin[live], end[live])
-        frequency = np.where(found >= 0, 10.0 ** (own["frequencies"][np.maximum(found, 0)] / -float(STEPS)) if len(own["frequencies"]) else 0.0, 0.0)
-        back = np.where(begin < end, 10.0 ** (own["backoffs"][p] / -float(STEPS)), 1.0)
-        at[rows], rel[rows], weight[rows] = found[group], frequency[group], back[group]
+        at[rows] = found[group]
+        rel[rows] = np.where(found >= 0, 10.0 ** (own["frequencies"][np.maximum(found, 0)] / -float(STEPS)), 0.0)[group]
+        if level > 2:
+            weight[rows] = np.where(begin < end, 10.0 ** (own["backoffs"][np.maximum(p, 0)] / -float(STEPS)), 1.0)[group]
     return at, rel, weight
 
 
 def _ngram_keys(trie: Trie, order: int, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, key) of every n-gram of `order` words within a text; the levels below are complete."""
-    ids, _ = look_up(trie, hashes)
-    shard = (hashes >> np.uint64(trie.shift)).astype(np.int64) if len(trie.words) > 1 else np.zeros(len(hashes), np.int64)
-    position = ids - np.concatenate([[0], np.cumsum(trie.words)])[shard]
+    """(shard, key) of every n-gram of `order` words within a text, 2 at least; the levels below are complete.
+
+    On level 2 a key is the words' ids; on the others the parent's place and the word's id.
+    """
+    ids, counts, _ = look_up(trie, hashes)
+    shard = _pair_shards(trie, hashes, counts)
+    position = ids
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for k in range(2, order + 1):
         n = max(0, len(hashes) - k + 1)
-        keep = text[:n] == text[k - 1 :] if n else np.zeros(0, bool)
-        parent = np.where(keep, position[:n], -1)
-        if k == order:
-            fine = parent >= 0
-            return shard[:n][fine], parent[fine].astype(np.uint64) * np.uint64(trie.vocabulary) + ids[k - 1 :][fine].astype(np.uint64)
-        position = _children(trie, k, shard[:n], parent, ids[k - 1 :])[0]
-    return shard, position.astype(np.uint64)
+        parent = np.where(text[:n] == text[k - 1 :], position[:n], -1)
+        if k < order:
+            position = _children(trie, k, shard[:n], parent, ids[k - 1 :])[0]
+    fine = parent >= 0
+    return shard[:n][fine], parent[fine].astype(np.uint64) * np.uint64(trie.vocabulary) + ids[order - 1 :][fine].astype(np.uint64)
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,70 +242,131 @@ def _packed(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
 
 _PARTIAL = "shard int, meta binary, lows binary, highs binary, counts binary, wide boolean"
 _PARTIAL_ARROW = pa.schema([("shard", pa.int32()), ("meta", pa.binary()), ("lows", pa.binary()), ("highs", pa.binary()), ("counts", pa.binary()), ("wide", pa.bool_())])
+_BUNDLE = "bucket int, part int, shards binary, keys binary, counts binary"
+_BUNDLE_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("shards", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+class _Held:
+    """Counts by (shard, key) until they are sent."""
+
+    def __init__(self):
+        self.pieces, self.size = [], 0
+
+    def add(self, shard: np.ndarray, key: np.ndarray, count: np.ndarray | None = None) -> None:
+        order = np.lexsort((key, shard))
+        shard, key = shard[order], key[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(fresh, len(key))) if count is None else np.add.reduceat(count[order], fresh) if len(key) else count
+        self.pieces.append((shard[fresh], key[fresh], count))
+        self.size += len(fresh)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All sorted and added up; nothing stays."""
+        whole = _Held()
+        if self.pieces:
+            whole.add(*(np.concatenate(x) for x in zip(*self.pieces, strict=True)))
+        self.pieces, self.size = [], 0
+        return whole.pieces[0] if whole.pieces else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _by_shards(held: _Held):
+    shard, key, count = held.taken()
+    for s, part in _by_shard(shard):
+        yield pa.RecordBatch.from_pylist([_packed(s, key[part], count[part])], schema=_PARTIAL_ARROW)
 
 
 def _partial_counts(texts: DataFrame, trie: Trie | None, order: int, shards: int) -> DataFrame:
     shift = 64 - (shards.bit_length() - 1)
+    wide = shards > FAN
+    every = max(1, shards // FAN)
 
-    def run(batches):
-        held: list = []
-        size = 0
-
-        def sent():
-            owner = np.concatenate([h[0] for h in held])
-            keys, counts = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            by = np.argsort(owner, kind="stable")
-            owner, keys, counts = owner[by], keys[by], counts[by]
-            for shard, part in _by_shard(owner):
-                yield pa.RecordBatch.from_pylist([_packed(shard, *_added(keys[part], counts[part]))], schema=_PARTIAL_ARROW)
+    def bundles(held: _Held):
+        shard, key, count = held.taken()
+        part = int.from_bytes(uuid.uuid4().bytes[:4], "little") % every
+        for bucket, at in _by_shard(shard // every):
+            row = {"bucket": bucket, "part": part, "shards": zlib.compress(shard[at].astype("<u4"), 1), "keys": zlib.compress(np.diff(key[at], prepend=np.uint64(0)), 1), "counts": zlib.compress(count[at].astype("<u8"), 1)}
+            yield pa.RecordBatch.from_pylist([row], schema=_BUNDLE_ARROW)
 
+    def run(batches):
+        held = _Held()
         for whole in batches:
             for batch in text_slices(whole, 0):
                 hashes, first = tokens(batch.column(0))
                 if trie is None:
                     owner = (hashes >> np.uint64(shift)).astype(np.int64) if shards > 1 else np.zeros(len(hashes), np.int64)
-                    keys = hashes - (owner.astype(np.uint64) << np.uint64(shift)) if shards > 1 else hashes
+                    held.add(owner, hashes - (owner.astype(np.uint64) << np.uint64(shift)) if shards > 1 else hashes)
                 else:
-                    owner, keys = _ngram_keys(trie, order, hashes, first)
-                for shard, part in _by_shard(owner[by := np.argsort(owner, kind="stable")]):
-                    k, c = np.unique(keys[by[part]], return_counts=True)
-                    held.append((np.full(len(k), shard), k, c))
-                    size += len(k)
-                if size > HELD:
-                    yield from sent()
-                    held, size = [], 0
-        if held:
-            yield from sent()
+                    held.add(*_ngram_keys(trie, order, hashes, first))
+                if held.size > HELD:
+                    yield from (bundles if wide else _by_shards)(held)
+        if held.size:
+            yield from (bundles if wide else _by_shards)(held)
 
-    return texts.mapInArrow(run, _PARTIAL)
+    if not wide:
+        return texts.mapInArrow(run, _PARTIAL)
+
+    def split(batches):
+        held, at = _Held(), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held.size and (at != (row["bucket"], row["part"]) or held.size > HELD):
+                    yield from _by_shards(held)
+                at = row["bucket"], row["part"]
+                keys = np.cumsum(np.frombuffer(zlib.decompress(row["keys"]), "<u8"), dtype=np.uint64)
+                held.add(np.frombuffer(zlib.decompress(row["shards"]), "<u4").astype(np.int64), keys, np.frombuffer(zlib.decompress(row["counts"]), "<u8").astype(np.int64))
+        if held.size:
+            yield from _by_shards(held)
+
+    return texts.mapInArrow(run, _BUNDLE).repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(split, _PARTIAL)
+
+
+def _counts_of(trie: Trie, ids: np.ndarray) -> np.ndarray:
+    """Counts of words by ascending id."""
+    base = np.concatenate([[0], np.cumsum(trie.words)])
+    out = np.zeros(len(ids), np.int64)
+    for s, part in _by_shard(np.searchsorted(base, ids, "right") - 1):
+        out[part] = _level(trie.file(1, s))["counts"][ids[part] - base[s]]
+    return out
 
 
-def _built(partial: DataFrame, folder: str, level: int, words: tuple[int, ...], shards: int) -> DataFrame:
-    """Adds up each shard's counts and writes its file; (shard, file, entries, total)."""
-    vocabulary = sum(words)
+def _built(partial: DataFrame, trie: Trie, level: int) -> DataFrame:
+    """Adds up each shard's counts and writes its file; (shard, entries, total), and of level 2 also (word, kinds): successors in the shard."""
+    vocabulary, shards = trie.vocabulary, len(trie.words)
 
-    def written(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def written(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]):
         keys, counts = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        tops, kinds = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if level == 1:
             arrays = _coded("keys", keys, int(keys[-1]) + 1) | {"counts": counts.astype(np.int64)}
         else:
             parents = (keys // np.uint64(vocabulary)).astype(np.int64)
-            # Contexts of level 2 are words; those of higher levels are counted up to the last that has a child.
-            n = words[shard] if level == 2 else int(parents[-1]) + 1
-            total, kinds = np.bincount(parents, counts, n), np.bincount(parents, minlength=n)
-            pointers = np.concatenate([[0], np.cumsum(kinds)])
-            arrays = _coded("keys", keys, int(keys[-1]) + 1) | _coded("pointers", pointers, len(keys) + 1)
-            arrays |= {"frequencies": logs(np.maximum(counts - DISCOUNT, 1e-9) / total[parents]), "backoffs": logs(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))}
-        path = f"{folder}/{level}-{shard}-{uuid.uuid4().hex}.trie"
-        save(path, arrays)
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [path], "entries": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+            if level == 2:  # all that follows a word in training is counted with the word itself
+                tops, parents = np.unique(parents, return_inverse=True)
+                keys = keys - tops[parents].astype(np.uint64) * np.uint64(vocabulary) + parents.astype(np.uint64) * np.uint64(vocabulary)
+                n, total = len(tops), _counts_of(trie, tops)
+            else:
+                n = _level(trie.file(level - 1, shard))["keys"].n
+                total = np.bincount(parents, counts, n)
+            kinds = np.bincount(parents, minlength=n)
+            arrays = _coded("keys", keys, int(keys[-1]) + 1) | _coded("pointers", np.concatenate([[0], np.cumsum(kinds)]), len(keys) + 1)
+            arrays |= {"frequencies": logs(np.maximum(counts - DISCOUNT, 1e-9) / total[parents])}
+            if level == 2:
+                arrays |= _coded("contexts", tops, int(tops[-1]) + 1)
+            else:
+                arrays |= {"backoffs": logs(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))}
+                kinds = kinds[:0]
+        save(trie.file(level, shard), arrays)
+        one = pa.nulls(len(tops), pa.int64())
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "entries": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "word": pa.nulls(1, pa.int64()), "kinds": pa.nulls(1, pa.int64())})
+        if len(tops):
+            yield pa.RecordBatch.from_pydict({"shard": one.cast(pa.int32()), "entries": one, "total": one, "word": pa.array(tops), "kinds": pa.array(kinds.astype(np.int64))})
 
     def run(batches):
         shard, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if parts and row["shard"] != shard:
-                    yield written(shard, parts)
+                    yield from written(shard, parts)
                     parts = []
                 shard = row["shard"]
                 coded = EliasFano({"meta": np.frombuffer(row["meta"], np.int64), "lows": np.frombuffer(row["lows"], np.uint64), "highs": np.frombuffer(row["highs"], np.uint64), "zeros": np.zeros(1, np.uint32)})
@@ -253,44 +374,82 @@ def _built(partial: DataFrame, folder: str, level: int, words: tuple[int, ...],
                 if len(parts) > 64:
                     parts = [_added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
         if parts:
-            yield written(shard, parts)
+            yield from written(shard, parts)
+
+    return stage(partial.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, entries long, total long, word long, kinds long"), "trie")
 
-    return stage(partial.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, file string, entries long, total long"), "trie")
+
+def _weighted(trie: Trie, kinds: DataFrame) -> None:
+    """Write the back-off weights of the words, from (word, kinds) rows: a file for each shard of level 1."""
+    base = np.concatenate([[0], np.cumsum(trie.words)])
+    sums = kinds.groupBy("word").agg(F.sum("kinds").alias("kinds"))
+
+    def located(batches):
+        for batch in batches:
+            word = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(base, word, "right") - 1).astype(np.int32)), batch.column(0), batch.column(1)], names=["shard", "word", "kinds"])
+
+    def run(batches):
+        shard, weights = None, None
+
+        def written():
+            save(trie.file("weights", shard), {"backoffs": logs(weights)})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
+
+        for batch in batches:
+            own, word, n = (batch.column(i).to_numpy() for i in range(3))
+            for s, part in _by_shard(own):
+                if s != shard:
+                    if shard is not None:
+                        yield written()
+                    shard, weights, counts = s, np.ones(trie.words[s]), _level(trie.file(1, s))["counts"]
+                at = word[part] - base[s]
+                weights[at] = DISCOUNT * n[part] / counts[at]
+        if shard is not None:
+            yield written()
+
+    # A word without successors, as the end of texts, has a row too, so that every shard with words has a file.
+    alone = kinds.sparkSession.createDataFrame([(int(base[s]), 0) for s, n in enumerate(trie.words) if n], "word long, kinds long")
+    rows = sums.unionByName(alone).groupBy("word").agg(F.sum("kinds").alias("kinds")).mapInArrow(located, "shard int, word long, kinds long")
+    stage(rows.repartition(len(trie.words), "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int"), "weights")
 
 
 def train(df: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
-    """Build the trie from all of df's texts (null: empty).  Its size, and what is shuffled, grow with the text."""
+    """Build the trie from all of df's texts (null: empty).  Its size, and what is shuffled, grow with the text.
+
+    Texts are counted whole; repeated rows count as often as they are there; an empty table gives a model without words.
+    """
     texts = df.select(F.col(f"`{text}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(LEAST_SHARDS.bit_length() - 1, (size // SHARD_BYTES).bit_length())
-    folder = new_folder(df.sparkSession, "lm")
-    trie, files = None, []
-    for level in range(1, order + 1):
-        made = {r["shard"]: r for r in _built(_partial_counts(texts, trie, level, shards), folder, level, trie.words if trie else (), shards).collect()}  # a row a shard
-        files.append(tuple(made[s]["file"] if s in made else None for s in range(shards)))
-        if level == 1:
-            words, total = tuple(made[s]["entries"] if s in made else 0 for s in range(shards)), sum(r["total"] for r in made.values())
-        trie = Trie(tuple(files), words, total)
+    trie = Trie(new_folder(df.sparkSession, "lm"), 1, (0,) * shards, 0)
+    made = {r["shard"]: r for r in _built(_partial_counts(texts, None, 1, shards), trie, 1).where("shard is not null").collect()}  # a row a shard
+    trie = Trie(trie.folder, 1, tuple(made[s]["entries"] if s in made else 0 for s in range(shards)), sum(r["total"] for r in made.values()))
+    for level in range(2, order + 1):
+        built = _built(_partial_counts(texts, trie, level, shards), trie, level)
+        if level == 2 and trie.tokens:
+            _weighted(trie, built.where("word is not null").select("word", "kinds"))
+        trie = Trie(trie.folder, level, trie.words, trie.tokens)
     return trie
 
 
 def scores(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score, score of each text."""
     hashes, first = tokens(column)
-    ids, counts = look_up(trie, hashes)
+    ids, counts, weight = look_up(trie, hashes)
     single = (counts + ADDED) / (trie.tokens + ADDED * (trie.vocabulary + 1))
     p = single.copy()
-    shard = (hashes >> np.uint64(trie.shift)).astype(np.int64) if len(trie.words) > 1 else np.zeros(len(hashes), np.int64)
-    position = ids - np.concatenate([[0], np.cumsum(trie.words)])[shard]
-    position[ids < 0] = -1
+    position, shard = ids, _pair_shards(trie, hashes, counts)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for k in range(2, len(trie.files) + 1):
+    for k in range(2, trie.order + 1):
         n = max(0, len(hashes) - k + 1)
         if not n:
             break
-        parent = np.where(text[:n] == text[k - 1 :], position[:n], -1)
-        position, rel, weight = _children(trie, k, shard[:n], parent, ids[k - 1 :])
-        p[k - 1 :] = rel + weight * p[k - 1 :]
+        inside = text[:n] == text[k - 1 :]
+        position, rel, own = _children(trie, k, shard[:n], np.where(inside, position[:n], -1), ids[k - 1 :])
+        if k == 2:
+            own = np.where(inside, weight[:n], 1.0)
+        p[k - 1 :] = rel + own * p[k - 1 :]
     add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
     return np.diff(first), add((counts > 0).astype(np.int64)), add(np.log10(single)), add(np.log10(p))
 
@@ -298,12 +457,13 @@ def scores(trie: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
 def score(df: DataFrame, trie: Trie, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Kept columns (all but the text and clashing ones by default), then n_tokens, n_known, train_tokens, base_score, score.
 
-    A null or empty text is its end alone.  With an empty model every token has probability 1.
+    A null or empty text is its end alone; texts of any length are scored whole.  With an empty model every token has probability 1.
+    Repeated rows come out alike, an empty table gives no rows, and a kept column named as an output is replaced.
     """
     outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in drop_clashing(df, outputs).columns if c != text] if keep is None else keep
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    shared = df.sparkSession.sparkContext.broadcast(trie)  # file names, a few a shard
+    shared = df.sparkSession.sparkContext.broadcast(trie)  # two numbers a shard
     names = [*keep, *outputs]
 
     def run(batches):
@@ -313,7 +473,5 @@ def score(df: DataFrame, trie: Trie, text: str = "text", keep: list[str] | None
                 n, known, base, full = scores(own, batch.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), own.tokens)), pa.array(base), pa.array(full)], names=names)
 
-    from pyspark.sql import types as T
-
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, k) for n, k in zip(names[len(keep) :], kinds, strict=True)]]))

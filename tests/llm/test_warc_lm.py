@@ -110,6 +110,25 @@ def test_scores_by_brute_force(spark, order):
         assert g.score == pytest.approx(full, abs=2e-4 * g.n_tokens)  # half a step of the 16-bit logarithms a factor
 
 
+def test_frequent_words_are_spread_and_bundles_merged(spark, monkeypatch):
+    """Scores do not depend on the number of shards, on how their rows travel, or on a word that makes up half of the corpus."""
+    texts = [" ".join(w for x in fixtures.prose(i, 60).split() for w in ("the", x)) for i in range(40)] + ["the the the", "", None, "The"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = []
+    for least, fan in ((1, 256), (32, 256), (32, 4)):
+        monkeypatch.setattr(lm_scoring, "LEAST_SHARDS", least)
+        monkeypatch.setattr(lm_scoring, "FAN", fan)
+        trie = lm_scoring.train(docs)
+        assert (len(trie.words), trie.order) == (least, 3)
+        found.append(sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in lm_scoring.score(docs, trie).collect()))
+        if least == 32:
+            hashes = lm_scoring.tokens(lm_scoring.pa.array(texts))[0]
+            counts = lm_scoring.look_up(trie, hashes)[1]
+            assert len(np.unique(lm_scoring._pair_shards(trie, hashes, counts)[counts[:-1] == counts.max()])) >= 12
+    assert found[1] == found[2] and [f[:3] for f in found[0]] == [f[:3] for f in found[1]]
+    assert np.allclose([f[3] for f in found[0]], [f[3] for f in found[1]])
+
+
 def test_lm_edges(spark):
     trie = lm_scoring.train(fixtures.empty(spark))
     assert trie.tokens == 0
