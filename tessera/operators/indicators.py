@@ -33,7 +33,8 @@ def rsi(df: DataFrame, by: str, time: str, column: str, n: int = 14) -> DataFram
     """Relative strength index by simple means of the last n gains and losses."""
     step = F.col(column) - F.lag(column).over(Window.partitionBy(by).orderBy(time))
     w = _last(by, time, n)
-    rows = df.withColumn("__up", F.greatest(step, F.lit(0.0))).withColumn("__down", F.greatest(-step, F.lit(0.0)))
+    gain = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))  # noqa: E731  a key's first row has none
+    rows = df.withColumn("__up", gain(step)).withColumn("__down", gain(-step))
     up, down = F.avg("__up").over(w), F.avg("__down").over(w)
     value = F.when(up + down > 0, 100 * up / (up + down))
     return rows.withColumn(f"rsi_{n}", _full(value, "__up", w, n)).drop("__up", "__down")

@@ -1,103 +1,183 @@
-"""Nearest-neighbour joins on columns of float arrays, by exact cosine."""
+"""Nearest-neighbour joins on columns of float arrays, by exact cosine.
+
+The stream is scanned once, whatever the number of probes.  Probes that fit into one block go to every task at once; more are written to
+the shared folder as blocks, which a task takes one after the other for each stretch of its rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.storage import settle
+from tessera.storage import listed, settle
 
-#: Largest block of probe rows that goes to every task at once; more probes are taken block by block.
-BLOCK_ROWS, BLOCK_BYTES = 8192, 64 << 20
+#: Rows and bytes of a block of probes; bytes of vectors of a stretch of the stream.
+BLOCK_ROWS, BLOCK_BYTES, STRETCH_BYTES = 8192, 64 << 20, 32 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, keepdims=True, initial=0)
+    x = np.divide(x, top, out=np.zeros_like(x), where=top > 0)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
+def _usable(column: pa.Array, dim: int | None, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that can be compared, and those as unit vectors; lengths that differ are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _blocks(probes: DataFrame) -> tuple[int, Iterator[pa.Table]]:
-    """How many bounded Arrow tables hold the probes, and those tables, by hash."""
-    n = probes.count()
-    width = len(probes.columns) * 64
-    first = probes.limit(1).collect()
-    width += sum(8 * len(v) for r in first for v in r if isinstance(v, list))
-    parts = max(1, -(-n // BLOCK_ROWS), -(-n * width // BLOCK_BYTES))
-    share = lambda i: probes if parts == 1 else probes.where(F.pmod(F.xxhash64(*probes.columns), F.lit(parts)) == i)
-    return parts, (share(i).toArrow() for i in range(parts))
-
-
-def _candidates(stream: DataFrame, vector: str, block: pa.Table, block_vector: str, per_probe: bool, k: int, threshold: float | None) -> DataFrame:
-    """(row, probe, similarity) where row and probe are structs: the k best per probe of each batch, or per row, or all above a threshold."""
-    unit = _unit(_stack(block[block_vector])) if block.num_rows else np.zeros((0, 0))
+    sizes = np.array([-1 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    there = np.flatnonzero(sizes > 0)
+    wanted = dim if dim is not None else int(sizes[there[0]]) if len(there) else 0
+    if odd := sorted(set(sizes[there].tolist()) - {wanted}):
+        raise ValueError(f"{name} has vectors of {odd[0]} components beside such of {wanted}")
+    flat = column.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), wanted)
+    fine = np.isfinite(flat).all(1)  # null components are NaN here
+    return there[fine], _unit(flat[fine])
+
+
+def _comparable(df: DataFrame, vector: str) -> DataFrame:
+    c = F.col(f"`{vector}`")
+    return df.where(c.isNotNull() & (F.size(c) > 0))
+
+
+def _blocks(probes: DataFrame, vector: str) -> tuple[int, Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """The probes' dimension, and what gives a task their blocks (numbers, unit vectors).  probes have a number as __probe."""
+    spark, few = probes.sparkSession, _comparable(probes, vector).select("__probe", vector)
+    n, least, dim = few.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if not n:
+        return 0, lambda: iter(())
+    if least != dim:
+        raise ValueError(f"{vector} has vectors of {least} components beside such of {dim}")
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        at, unit = _usable(table[vector], dim, vector)
+        return table["__probe"].to_numpy()[at], unit
+
+    parts = max(-(-n // BLOCK_ROWS), -(-n * dim * 8 // BLOCK_BYTES))
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(read(few.toArrow()))  # BLOCK_BYTES at most
+        return dim, lambda: iter([shared.value])
+    files = listed(spark, settle(few.repartition(parts), "probes").inputFiles()[0].rpartition("/")[0], ".parquet")
+
+    def opened() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file if not file.startswith("file:/") or file.startswith("file://") else "file://" + file.removeprefix("file:"))
+            yield read(pq.read_table(path, filesystem=system))
+
+    return dim, opened
+
+
+def _best(score: np.ndarray, k: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest along an axis, earlier ones first among equals."""
+    best = np.argsort(-score, axis=axis, kind="stable")
+    if axis == 0:
+        best = best[:k]
+        return best.ravel(), np.tile(np.arange(score.shape[1]), len(best))
+    best = best[:, :k]
+    return np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+
+
+def _found(stream: DataFrame, vector: str, dim: int, blocks, per_probe: bool, k: int, threshold: float | None) -> DataFrame:
+    """Stream rows with __probe and __similarity: all above the threshold, the k best probes of each row, or of each stretch the k best rows of each probe."""
     at = stream.columns.index(vector)
     schema = T.StructType([*stream.schema.fields, T.StructField("__probe", T.LongType()), T.StructField("__similarity", T.DoubleType())])
-    shared = stream.sparkSession.sparkContext.broadcast(unit)  # BLOCK_BYTES at most
 
-    def run(batches):
-        probes = shared.value
-        for batch in batches:
-            usable = batch.filter(batch.column(at).is_valid()) if batch.column(at).null_count else batch
-            if not usable.num_rows or not len(probes):
+    def picked(part: pa.RecordBatch, rows: np.ndarray, numbers: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, pa.array(numbers.astype(np.int64)), pa.array(score.astype(np.float64))], names=schema.names)
+
+    def compared(part: pa.RecordBatch):
+        there, mine = _usable(part.column(at), dim or None, vector)
+        if not len(there):
+            return
+        kept: list[tuple] = []  # the best probes of each row so far
+        for numbers, theirs in blocks():
+            if not len(numbers):
                 continue
-            for lo in range(0, usable.num_rows, 2048):
-                part = usable.slice(lo, 2048)
-                score = _unit(_stack(part.column(at))) @ probes.T
+            for lo in range(0, len(mine), 2048):
+                score = mine[lo : lo + 2048] @ theirs.T
                 if threshold is not None:
                     rows, cols = np.nonzero(score >= threshold)
                 else:
-                    best = np.argsort(-score, axis=0 if per_probe else 1, kind="stable")
-                    best = best[:k] if per_probe else best[:, :k]
-                    rows, cols = (best.ravel(), np.tile(np.arange(score.shape[1]), len(best))) if per_probe else (np.repeat(np.arange(len(best)), best.shape[1]), best.ravel())
-                picked = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cols.astype(np.int64)), pa.array(score[rows, cols])], names=schema.names)
+                    rows, cols = _best(score, k, 0 if per_probe else 1)
+                hit = rows + lo, numbers[cols], score[rows, cols]
+                if threshold is None and not per_probe:
+                    kept.append(hit)
+                else:
+                    yield picked(part, there[hit[0]], hit[1], hit[2])
+            if len(kept) * 2048 > 8 * len(mine) + 8192:
+                kept = [_merged(kept, k)]
+        if kept:
+            rows, numbers, score = _merged(kept, k)
+            yield picked(part, there[rows], numbers, score)
+
+    def stretches(held: list[pa.RecordBatch]):
+        for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from compared(part)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows * max(1, dim) * 8
+            if size > STRETCH_BYTES:
+                yield from stretches(held)
+                held, size = [], 0
+        if held:
+            yield from stretches(held)
 
     return stream.mapInArrow(run, schema)
 
 
+def _merged(kept: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row over several blocks."""
+    rows, numbers, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.lexsort((numbers, -score, rows))
+    rows, numbers, score = rows[order], numbers[order], score[order]
+    begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    good = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows)))) < k
+    return rows[good], numbers[good], score[good]
+
+
 def _joined(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, suffix: str, per_probe: bool, k: int, threshold: float | None) -> DataFrame:
     names = {c: c + suffix if c in stream.columns else c for c in probes.columns}
-    spark, out, columns = stream.sparkSession, None, stream.columns
-    parts, blocks = _blocks(probes)
-    ranked = threshold is None and (per_probe or parts > 1)  # one block already gives each row its k best
-    if ranked and not per_probe:
-        stream = settle(stream.withColumn("__row", F.monotonically_increasing_id()), "stream")
-    for number, block in enumerate(blocks):
-        found = _candidates(stream, vector, block, probe_vector, per_probe, k, threshold)
-        side = block.rename_columns([names[c] for c in block.column_names]).append_column("__probe", pa.array(np.arange(block.num_rows)))
-        side = spark.createDataFrame(side, T.StructType([*[T.StructField(names[f.name], f.dataType) for f in probes.schema.fields], T.StructField("__probe", T.LongType())]))
-        part = found.join(F.broadcast(side), "__probe").withColumn("__block", F.lit(number))
-        out = part if out is None else out.unionByName(part)
-    if ranked:
-        # Ties go by the stream's other columns (per probe) or the probe's (per row), so that reruns agree.
-        ties = [c for c in (columns if per_probe else names.values()) if not c.startswith("__")]
-        key = ["__block", "__probe"] if per_probe else ["__row"]
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__similarity"), *ties))
+    columns = stream.columns
+    # Numbers follow the probes' other columns, so that equal similarities rank alike in every run.
+    ties = [c for c in probes.columns if c != probe_vector]
+    ranked = probes.orderBy(*[F.col(f"`{c}`") for c in ties]) if ties else probes
+    numbered = settle(ranked.withColumn("__probe", F.monotonically_increasing_id()), "probes")
+    dim, blocks = _blocks(numbered, probe_vector)
+    out = _found(_comparable(stream, vector), vector, dim, blocks, per_probe, k, threshold)
+    if threshold is None and per_probe:
+        order = [F.col(f"`{c}`") for c in columns if c != vector]
+        rank = F.row_number().over(Window.partitionBy("__probe").orderBy(F.desc("__similarity"), *order))
         out = out.withColumn("__rank", rank).where(F.col("__rank") <= k)
-    return out.select(*columns, *names.values(), F.col("__similarity").alias("similarity"))
+    side = numbered.select("__probe", *[F.col(f"`{c}`").alias(names[c]) for c in probes.columns])
+    return out.join(side, "__probe").select(*columns, *names.values(), F.col("__similarity").alias("similarity"))
 
 
 def nearest_to_probes(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, k: int = 1, suffix: str = "_probe") -> DataFrame:
-    """For each probe its k nearest stream rows: stream columns, probe columns, similarity.  Null vectors match nothing."""
+    """For each probe its k nearest stream rows: stream columns, probe columns, similarity.
+
+    Vectors that are null, empty or hold a null or non-finite component match nothing; vectors of unequal length are an error that names both lengths.
+    """
     return _joined(stream, probes, vector, probe_vector, suffix, True, k, None)
 
 
 def nearest_probes(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, k: int = 1, suffix: str = "_probe") -> DataFrame:
-    """For each stream row its k nearest probes."""
+    """For each stream row its k nearest probes; vectors as in `nearest_to_probes`."""
     return _joined(stream, probes, vector, probe_vector, suffix, False, k, None)
 
 
 def within(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, threshold: float, suffix: str = "_probe") -> DataFrame:
-    """All (stream row, probe) pairs of cosine at least `threshold`."""
+    """All (stream row, probe) pairs of cosine at least `threshold`; vectors as in `nearest_to_probes`."""
     return _joined(stream, probes, vector, probe_vector, suffix, True, 1, threshold)

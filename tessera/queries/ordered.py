@@ -50,32 +50,50 @@ query("""WITH v AS (SELECT user_id, ts AS a FROM events WHERE event_type = 'view
 )
 query("SELECT user_id, event_id, ts, value, max(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS processing_time FROM events", "processing_time")(lambda t: Stream(streaming.processing_time(t.events.select(["user_id", "event_id", "ts", "value"]).df, "user_id", "event_id", "ts")))
 query("SELECT event_id, CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS sma_5 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING)", "indicator_sma")(lambda t: Stream(indicators.sma(t.events.df, "user_id", "ts", "value", 5).selectExpr("event_id", "round(sma_5, 6) AS sma_5")))
-query(None, "indicator_macd")(lambda t: Stream(indicators.macd(t.events.select(["event_id", "user_id", "ts", "value"]).df, "user_id", "ts", "value")))
+query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events),
+ m AS (SELECT event_id, user_id, r, value AS fast, value AS slow FROM e WHERE r = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.r, m.fast + (e.value - m.fast) * 2 / 13, m.slow + (e.value - m.slow) * 2 / 27 FROM m JOIN e ON e.user_id = m.user_id AND e.r = m.r + 1)
+ SELECT event_id, round(fast - slow, 6) AS macd FROM m""",
+    "indicator_macd",
+)(lambda t: Stream(indicators.macd(t.events.select(["event_id", "user_id", "ts", "value"]).df, "user_id", "ts", "value").selectExpr("event_id", "round(macd, 6) AS macd")))
 query("SELECT event_id, CASE WHEN count(value) OVER w = 20 THEN round(avg(value) OVER w - 2 * stddev_samp(value) OVER w, 5) END AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS 19 PRECEDING)", "indicator_bollinger")(lambda t: Stream(indicators.bollinger(t.events.df, "user_id", "ts", "value").selectExpr("event_id", "round(boll_low, 5) AS low")))
-query(None, "indicator_rsi")(lambda t: Stream(indicators.rsi(t.events.select(["event_id", "user_id", "ts", "value"]).df, "user_id", "ts", "value")))
+query(
+    """WITH d AS (SELECT event_id, user_id, ts, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS step FROM events),
+ g AS (SELECT event_id, count(step) OVER w AS n, avg(greatest(step, 0.0)) FILTER (step IS NOT NULL) OVER w AS up, avg(greatest(-step, 0.0)) FILTER (step IS NOT NULL) OVER w AS down
+  FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS 13 PRECEDING))
+ SELECT event_id, CASE WHEN n = 14 AND up + down > 0 THEN round(100 * up / (up + down), 6) END AS rsi FROM g""",
+    "indicator_rsi",
+)(lambda t: Stream(indicators.rsi(t.events.select(["event_id", "user_id", "ts", "value"]).df, "user_id", "ts", "value").selectExpr("event_id", "round(rsi_14, 6) AS rsi")))
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[])"
 
 
+def _nearest_sql(k: int, of: str, ties: str, where: str = "true") -> str:
+    """The k nearest of each `of`, probes being every fiftieth row."""
+    ranked = f"row_number() OVER (PARTITION BY {of}.vec_id ORDER BY {_COS} DESC, {ties}.vec_id) AS r"
+    return f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, {ranked} FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND {where}) WHERE r <= {k}"
+
+
 def _probes(t):
-    return t.embeddings.filter_sql("vec_id < 10").select(["vec_id", "embedding"]).rename({"vec_id": "probe_id", "embedding": "probe_vec"})
+    """Every fiftieth row, so that the probes grow with the table."""
+    return t.embeddings.filter_sql("vec_id % 50 = 0").select(["vec_id", "embedding"]).rename({"vec_id": "probe_id", "embedding": "probe_vec"})
 
 
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id < 10) WHERE r <= 5", "knn_of_probes")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_probes(t), vec_column_left="embedding", vec_column_right="probe_vec", k=5).select(["vec_id", "probe_id"]))
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_COS} DESC, p.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id < 10) WHERE r <= 2", "knn_of_rows")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_probes(t), vec_column_left="embedding", vec_column_right="probe_vec", k=2, probe_side="left").select(["vec_id", "probe_id"]))
-query(f"SELECT e.vec_id, p.vec_id AS probe_id FROM embeddings e, embeddings p WHERE p.vec_id < 10 AND {_COS} >= 0.3", "vector_range")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_range_join(_probes(t), 0.3, vec_column_left="embedding", vec_column_right="probe_vec").select(["vec_id", "probe_id"]))
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id < 10 AND e.label < 3) WHERE r <= 3", "knn_filtered")(lambda t: t.embeddings.filter_sql("label < 3").select(["vec_id", "embedding"]).vector_nn_join(_probes(t), vec_column_left="embedding", vec_column_right="probe_vec", k=3).select(["vec_id", "probe_id"]))
+def _nearest(t, rows, **options):
+    found = rows.select(["vec_id", "embedding"]).vector_nn_join(_probes(t), vec_column_left="embedding", vec_column_right="probe_vec", **options)
+    return found.select(["vec_id", "probe_id"])
 
 
-def _every_probe(t):
-    """Every fiftieth row, so that the probes grow with the table."""
-    return t.embeddings.filter_sql("vec_id % 50 = 0").select(["vec_id", "embedding"]).rename({"vec_id": "probe_id", "embedding": "probe_vec"})
+query(_nearest_sql(5, "p", "e"), "knn_of_probes")(lambda t: _nearest(t, t.embeddings, k=5))
+query(_nearest_sql(2, "e", "p"), "knn_of_rows")(lambda t: _nearest(t, t.embeddings, k=2, probe_side="left"))
+query(_nearest_sql(3, "p", "e", "e.label < 3"), "knn_filtered")(lambda t: _nearest(t, t.embeddings.filter_sql("label < 3"), k=3))
 
 
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0) WHERE r <= 5", "knn_of_probes_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=5).select(["vec_id", "probe_id"]))
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_COS} DESC, p.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0) WHERE r <= 2", "knn_of_rows_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=2, probe_side="left").select(["vec_id", "probe_id"]))
-query(f"SELECT e.vec_id, p.vec_id AS probe_id FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND {_COS} >= 0.3", "vector_range_every")(lambda t: t.embeddings.select(["vec_id", "embedding"]).vector_range_join(_every_probe(t), 0.3, vec_column_left="embedding", vec_column_right="probe_vec").select(["vec_id", "probe_id"]))
-query(f"SELECT vec_id, probe_id FROM (SELECT e.vec_id, p.vec_id AS probe_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND e.label < 3) WHERE r <= 3", "knn_filtered_every")(lambda t: t.embeddings.filter_sql("label < 3").select(["vec_id", "embedding"]).vector_nn_join(_every_probe(t), vec_column_left="embedding", vec_column_right="probe_vec", k=3).select(["vec_id", "probe_id"]))
+@query(f"SELECT e.vec_id, p.vec_id AS probe_id FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0 AND {_COS} >= 0.3")
+def vector_range(t):
+    rows = t.embeddings.select(["vec_id", "embedding"])
+    return rows.vector_range_join(_probes(t), 0.3, vec_column_left="embedding", vec_column_right="probe_vec").select(["vec_id", "probe_id"])
 
 
 def _stream(t):

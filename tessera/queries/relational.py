@@ -49,7 +49,9 @@ query("SELECT o_custkey AS k FROM orders WHERE o_totalprice > 50000 INTERSECT SE
 query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", "set_except")(lambda t: t.customer.transform_sql("c_custkey as k").except_(t.orders.transform_sql("o_custkey as k")))
 query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "cube_groups")(lambda t: t.lineitem.cube(["l_returnflag", "l_linestatus"]).agg_sql("count(*) as n"))
 query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "rollup_groups")(lambda t: t.lineitem.rollup(["l_returnflag", "l_linestatus"]).agg_sql("count(*) as n"))
-query(None, "approximate_count_distinct")(lambda t: t.orders.approximate_count_distinct("o_custkey"))
+query("SELECT count(DISTINCT o_custkey) AS exact, true AS near FROM orders", "approximate_count_distinct")(  # within three times the given error
+    lambda t: t.ctx.from_spark(t.orders.approximate_count_distinct("o_custkey", 0.02).df.crossJoin(t.orders.agg_sql("count(distinct o_custkey) as exact").df).selectExpr("exact", "abs(o_custkey - exact) <= 0.06 * exact AS near"))
+)
 query("SELECT quantile_disc(l_quantity, 0.1)::DOUBLE AS l_quantity FROM lineitem UNION ALL SELECT quantile_disc(l_quantity, 0.5)::DOUBLE FROM lineitem UNION ALL SELECT quantile_disc(l_quantity, 0.9)::DOUBLE FROM lineitem", "approximate_quantile")(lambda t: t.lineitem.approximate_quantile(["l_quantity"], [0.1, 0.5, 0.9]))
 query("SELECT quantile_disc(l_quantity, 0.5)::DOUBLE AS l_quantity FROM lineitem", "approximate_median")(lambda t: t.lineitem.approximate_median("l_quantity"))
 query("SELECT round(a/1000,3) AS l_quantity, round(b,2) AS l_tax FROM (SELECT sum(l_quantity*l_quantity) AS a, sum(l_quantity*l_tax) AS b FROM lineitem UNION ALL SELECT sum(l_tax*l_quantity), sum(l_tax*l_tax) FROM lineitem)", "gramian_matrix")(lambda t: t.lineitem.gramian(["l_quantity", "l_tax"]).transform_sql("round(l_quantity / 1000, 3) as l_quantity, round(l_tax, 2) as l_tax"))

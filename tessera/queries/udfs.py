@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -71,16 +73,23 @@ query("SELECT stream, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT 0 AS st
 )
 
 
-@query("SELECT user_id, max(value) - min(value) AS spread FROM events GROUP BY ALL")
+@query("""SELECT user_id, round(sum(value * CASE WHEN r % 2 = 1 THEN 1 ELSE -1 END), 6) AS swing, last(event_id ORDER BY r) AS latest
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events) GROUP BY user_id""")
 def ordered_stateful_transform(t):
-    return t.events.select(["user_id", "ts", "value"]).ordered("ts").ordered_stateful_transform(lambda f: f.groupby("user_id", as_index=False).agg(spread=("value", lambda v: v.max() - v.min())), "user_id long, spread double", "user_id")
+    """Signs alternate along time, so the result tells the order."""
 
+    def swings(f):
+        signs = 1 - 2 * (np.arange(len(f)) % 2)
+        return pd.DataFrame({"user_id": f["user_id"].iloc[:1], "swing": [round(float((f["value"] * signs).sum()), 6)], "latest": f["event_id"].iloc[-1:].to_numpy()})
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    return t.events.select(["user_id", "event_id", "ts", "value"]).ordered("ts").ordered_stateful_transform(swings, "user_id long, swing double, latest long", "user_id")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_round_trip(t):
     path = fresh_path(t.spark, "csv")
-    t.nation.write_csv(path)
-    return t.ctx.read_csv(f"{path}/*", schema="n_nationkey int, n_name string, n_regionkey int", has_header=True)
+    t.customer.select(["c_custkey", "c_name", "c_nationkey", "c_acctbal"]).write_csv(path, output_line_limit=400)
+    return t.ctx.read_csv(f"{path}/*", schema="c_custkey long, c_name string, c_nationkey int, c_acctbal double", has_header=True)
 
 
 @query("SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS ids FROM supplier")
@@ -105,17 +114,17 @@ def pandas_round_trip(t):
     return t.ctx.from_pandas(t.region.collect())
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+@query("SELECT event_id, event_type, props, value FROM events")
 def json_round_trip(t):
     path = fresh_path(t.spark, "json")
-    t.region.df.write.json(path)
-    return t.ctx.read_json(path, "r_regionkey int, r_name string")
+    t.events.select(["event_id", "event_type", "props", "value"]).df.write.json(path)
+    return t.ctx.read_json(path, "event_id long, event_type string, props string, value double")
 
 
-@query("SELECT count(*) AS n FROM region")
+@query("SELECT count(*) AS n FROM orders")
 def read_files(t):
     path = fresh_path(t.spark, "blobs")
-    t.region.df.repartition(1).write.csv(path)
+    t.orders.df.select("o_orderkey", "o_custkey").repartition(4).write.csv(path)
     rows = t.ctx.read_files(f"{path}/*.csv")
     return Stream(rows.df.selectExpr("explode(filter(split(decode(object, 'UTF-8'), '\\n'), x -> x <> '')) AS line")).agg_sql("count(*) as n")
 
