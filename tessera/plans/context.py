@@ -73,13 +73,17 @@ class Context:
 
     # Services and memory
 
-    def read_rest_get(self, url: str, data: Sequence[str], schema: Sequence[str], headers: Mapping[str, str] | None = None, batch_size: int = 10_000) -> Stream:
-        """GET url + entry for each entry of data; a row a JSON object."""
-        return Stream(rest.get(self.spark, url, data, schema, headers or {}, batch_size))
+    def read_rest_get(self, url: str, data: Sequence[str], schema: Sequence[str], headers: Mapping[str, str] | None = None, batch_size: int = 10_000, **options) -> Stream:
+        """GET url + entry for each entry of data; a row a JSON object.
 
-    def read_rest_post(self, url: str, data: Sequence, schema: Sequence[str], headers: Mapping[str, str] | None = None, batch_size: int = 10_000) -> Stream:
-        """POST each entry of data as JSON; the rows of each answer's `result`."""
-        return Stream(rest.post(self.spark, url, data, schema, headers or {}, batch_size))
+        Requests are tried `tries` times (3).  One that fails for good is an error; with on_error="skip" it gives no row, with "report"
+        a row of nulls and the reason in a column `error`.
+        """
+        return Stream(rest.get(self.spark, url, data, schema, headers or {}, batch_size, **options))
+
+    def read_rest_post(self, url: str, data: Sequence, schema: Sequence[str], headers: Mapping[str, str] | None = None, batch_size: int = 10_000, **options) -> Stream:
+        """POST each entry of data as JSON; the rows of each answer's `result`.  Options and failures as for GET."""
+        return Stream(rest.post(self.spark, url, data, schema, headers or {}, batch_size, **options))
 
     def read_custom(self, reader, schema: str | T.StructType, channels: int = 8) -> Stream:
         """A reader with get_own_state(channels) and execute(channel, state), as a Spark data source."""

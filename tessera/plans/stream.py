@@ -23,8 +23,8 @@ def _list(value) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def _sql(text: str) -> Column:
-    return F.expr(sqltext.to_spark(text))
+def _sql(text: str, df: DataFrame) -> Column:
+    return F.expr(sqltext.to_spark(text, df))
 
 
 class Row:
@@ -102,7 +102,7 @@ class Stream:
         return self.filter_sql(condition) if isinstance(condition, str) else self._new(self.df.filter(unwrap(condition)))
 
     def filter_sql(self, condition: str) -> Stream:
-        return self._new(self.df.filter(_sql(condition)))
+        return self._new(self.df.filter(_sql(condition, self.df)))
 
     def select(self, columns: Sequence[str] | set[str]) -> Stream:
         names = [c for c in self.schema if c in columns] if isinstance(columns, (set, frozenset)) else _list(columns)
@@ -126,29 +126,42 @@ class Stream:
         """New columns from expressions or functions.
 
         A function of a row whose result is an expression stays in the plan; any other gets pandas frames of the required
-        columns (all if none are named) and returns a series.  `foldable` has no effect: the optimizer decides.
+        columns (all if none are named) and returns a series.  Its type is given by (function, "type"), or by the
+        function's return annotation if that is a type in DDL; else 64 rows tell it when the plan is made, and rows of another type fail.
+        `foldable` has no effect: the optimizer decides.
         """
         if clash := [n for n in new if n in self.schema]:
             raise ValueError(f"columns {clash} exist")
         out = {}
         for name, value in new.items():
+            kind = None
+            if isinstance(value, tuple) and len(value) == 2 and callable(value[0]):
+                value, kind = value
             if callable(value) and not isinstance(value, (Expression, Column)):
-                value = self._function(value, [c for c in self.schema if c in set(required_columns)] or self.schema)
+                value = self._function(value, [c for c in self.schema if c in set(required_columns)] or self.schema, kind)
             out[name] = unwrap(value) if isinstance(value, (Expression, Column)) else F.lit(value)
         return self._new(self.df.withColumns(out))
 
     def with_column(self, name: str, value, required_columns: Sequence[str] = ()) -> Stream:
         return self.with_columns({name: value}, required_columns)
 
-    def _function(self, f: Callable, required: list[str]):
-        try:
-            got = f(Row(self))
-        except Exception:  # not a function of expressions
-            got = None
-        if isinstance(got, (Expression, Column)):
-            return got
-        sample = self.df.select(*required).limit(stateful.SAMPLE_ROWS).toPandas()
-        kind = stateful.from_arrow_schema(pa.schema([("x", pa.array(f(sample)).type)])).fields[0].dataType
+    def _function(self, f: Callable, required: list[str], kind: str | T.DataType | None):
+        noted = getattr(f, "__annotations__", {}).get("return")
+        kind = kind if kind is not None else noted if isinstance(noted, (str, T.DataType)) else None
+        if kind is None:
+            failed = None
+            try:
+                got = f(Row(self))
+            except Exception as error:  # a function of frames, or one that is wrong: then it fails on a frame, too
+                got, failed = None, error
+            if isinstance(got, (Expression, Column)):
+                return got
+            sample = self.df.select(*[F.col(f"`{c}`") for c in required]).limit(stateful.SAMPLE_ROWS).toPandas()
+            try:
+                given = f(sample)
+            except Exception as error:
+                raise error from failed
+            kind = stateful.from_arrow_schema(pa.schema([("x", pa.array(given).type)])).fields[0].dataType
 
         def column(frame: pd.DataFrame) -> pd.Series:
             return pd.Series(f(frame))
@@ -158,7 +171,7 @@ class Stream:
 
     def with_columns_sql(self, text: str, foldable: bool = True) -> Stream:
         """New columns from "expression as name, ..."."""
-        return self.with_columns({name: F.expr(sql) for sql, name in sqltext.aliased(text)})
+        return self.with_columns({name: F.expr(sql) for sql, name in sqltext.aliased(text, self.df)})
 
     def clip(self, limits: Mapping[str, tuple[float, float]]) -> Stream:
         """Columns held between bounds; null stays null."""
@@ -172,8 +185,9 @@ class Stream:
 
     def transform_sql(self, text: str, groupby: Sequence[str] = (), foldable: bool = True) -> Stream:
         """Groups and "expression as name, ...": a full aggregation if there are groups or aggregates, else a projection."""
-        exprs = [F.expr(sql).alias(name) for sql, name in sqltext.aliased(text)]
-        calls = {t.lower() for sql, _ in sqltext.aliased(text) for t in sqltext.tokens(sql)}
+        parts = list(sqltext.aliased(text, self.df))
+        exprs = [F.expr(sql).alias(name) for sql, name in parts]
+        calls = {t.lower() for sql, _ in parts for t in sqltext.tokens(sql)}
         if groupby or calls & sqltext.AGGREGATES:
             return Stream(self.df.groupBy(*_list(groupby)).agg(*exprs) if groupby else self.df.agg(*exprs))
         return self._new(self.df.select(*exprs))
@@ -268,7 +282,7 @@ class Stream:
     aggregate = agg
 
     def agg_sql(self, text: str) -> Stream:
-        return Stream(self.df.agg(*_sql_aggregates(text)))
+        return Stream(self.df.agg(*_sql_aggregates(text, self.df)))
 
     def count(self, collect: bool = True):
         out = Stream(self.df.agg(F.count("*").alias("count")))
@@ -400,7 +414,7 @@ class GroupedStream:
     aggregate = agg
 
     def agg_sql(self, text: str) -> Stream:
-        return self._out(self.groups.agg(*_sql_aggregates(text)))
+        return self._out(self.groups.agg(*_sql_aggregates(text, self.source.df)))
 
     def count_distinct(self, column: str) -> Stream:
         return self._out(self.groups.agg(F.count_distinct(f"`{column}`").alias(column)))
@@ -459,5 +473,5 @@ def _aggregates(df: DataFrame, aggregations: Mapping[str, str | Sequence[str]])
     return out
 
 
-def _sql_aggregates(text: str) -> list[Column]:
-    return [F.expr(sql).alias(name) for sql, name in sqltext.aliased(text)]
+def _sql_aggregates(text: str, df: DataFrame) -> list[Column]:
+    return [F.expr(sql).alias(name) for sql, name in sqltext.aliased(text, df)]

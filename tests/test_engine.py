@@ -218,12 +218,86 @@ def test_rest(ctx):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/"
     try:
-        assert got(ctx.read_rest_get(url, ["1", "2", "3", "4"], "id long, title string")) == [(1, "t1"), (2, "t2"), (4, None)]
+        assert got(ctx.read_rest_get(url, ["1", "2", "3", "4"], "id long, title string", on_error="skip")) == [(1, "t1"), (2, "t2"), (4, None)]
+        rows = ctx.read_rest_get(url, ["1", "3"], "id long, title string", on_error="report").collect()
+        assert sorted(rows["error"].isna()) == [False, True] and "404" in rows["error"].dropna().iloc[0]
+        with pytest.raises(Exception, match="no answer for"):
+            ctx.read_rest_get(url, ["1", "3"], "id long, title string").collect()
         assert got(ctx.read_rest_post(url, [{"n": 2}, {"n": 0}, {"n": 1}], "id long, k long")) == [(1, 0), (2, 0), (2, 1)]
     finally:
         server.shutdown()
 
 
+def test_a_service_that_is_down_is_an_error(ctx):
+    with pytest.raises(Exception, match="no answer for"):
+        ctx.read_rest_post("http://127.0.0.1:9/", [{"n": 1}], "id long", tries=2).collect()
+    with pytest.raises(ValueError):
+        ctx.read_rest_get("http://127.0.0.1:9/", ["1"], "id long", on_error="ignore")
+
+
+def test_a_server_error_is_tried_again(ctx):
+    class Shaky(Service):
+        seen: dict = {}
+
+        def do_GET(self):
+            self.seen[self.path] = self.seen.get(self.path, 0) + 1
+            if self.seen[self.path] < 3:
+                self.send_response(503)
+                self.end_headers()
+            else:
+                self.answer({"id": int(self.path[1:])})
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Shaky)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert got(ctx.read_rest_get(f"http://127.0.0.1:{server.server_port}/", ["1", "2"], "id long")) == [(1,), (2,)]
+    finally:
+        server.shutdown()
+
+
+def test_list_aggregates_keep_nulls(spark):
+    s = make(spark, [(1, "a"), (1, None), (2, None), (2, "b"), (2, "b")], "k int, v string")
+    rows = s.groupby("k").agg_sql("array_agg(v) as vs, len(list(distinct v)) as kinds, array_agg(v) filter (where v is not null) as some").collect().sort_values("k")
+    assert [sorted(v, key=str) for v in rows["vs"]] == [[None, "a"], [None, "b", "b"]] or [sorted(v, key=str) for v in rows["vs"]] == [["a", None], ["b", "b", None]]
+    assert rows["kinds"].tolist() == [2, 2] and [list(v) for v in rows["some"]] == [["a"], ["b", "b"]]
+
+
+def test_len_is_by_type(spark):
+    s = make(spark, [([1, 2, 3], "four"), ([], ""), (None, None)], "a array<int>, s string")
+    out = s.with_columns_sql("len(a) as na, len(s) as ns, list_contains(list_distinct(a), 2) as two").select(["na", "ns"]).df.collect()
+    assert {tuple(r) for r in out} == {(3, 4), (0, 0), (None, None)}
+    assert s.filter_sql("len(a) > 1 and len(s) = 4").count()["count"].tolist() == [1]
+
+
+def test_errors_of_functions_are_shown_and_types_can_be_given(spark):
+    s = make(spark, [(i, i / 2) for i in range(200)], "k long, v double")
+    with pytest.raises(ZeroDivisionError):
+        s.with_columns({"x": lambda f: 1 / 0})
+    late = lambda f: f["k"].map(lambda k: 0.5 if k > 150 else k)  # noqa: E731  whole numbers at first
+    assert s.with_columns({"x": (late, "double")}, {"k"}).df.where("x = 0.5").count() == 49
+
+    def noted(f) -> "double":
+        return f["k"] * 2
+
+    assert dict(s.with_columns({"x": noted}, {"k"}).df.dtypes)["x"] == "double"
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    rows = make(spark, [(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0]), (3, [None, 1.0]), (4, []), (5, [float("nan"), 1.0]), (6, [3.0, 0.1])], "id long, v array<double>")
+    probes = make(spark, [(10, None), (11, [1.0, 0.0]), (12, [0.0, 2.0]), (13, [None, None])], "pid long, w array<double>")
+    args = {"vec_column_left": "v", "vec_column_right": "w"}
+    assert got(rows.vector_nn_join(probes, k=2, **args).select(["id", "pid"])) == [(0, 11), (2, 12), (6, 11), (6, 12)]
+    assert got(rows.vector_nn_join(probes, k=1, probe_side="left", **args).select(["id", "pid"])) == [(0, 11), (2, 12), (6, 11)]
+    assert got(rows.vector_range_join(probes, 0.9, **args).select(["id", "pid"])) == [(0, 11), (2, 12), (6, 11)]
+    none = make(spark, [(1, None)], "pid long, w array<double>")
+    assert got(rows.vector_nn_join(none, k=1, **args)) == []
+    ragged = make(spark, [(1, [1.0, 2.0, 3.0])], "pid long, w array<double>")
+    with pytest.raises(Exception, match="components"):
+        rows.vector_nn_join(ragged, k=1, **args).collect()
+    with pytest.raises(ValueError, match="components"):
+        rows.vector_nn_join(make(spark, [(1, [1.0]), (2, [1.0, 2.0])], "pid long, w array<double>"), k=1, **args)
+
+
 def test_csv_rules(ctx, tmp_path):
     (tmp_path / "a.csv").write_text("1|x|\n2|y|\n")
     assert got(ctx.read_csv(str(tmp_path / "a.csv"), ["k", "v", "null"], sep="|").drop(["null"])) == [(1, "x"), (2, "y")]
