@@ -50,6 +50,15 @@ class Expression:
         """The expression as Spark prints it."""
         return str(self.column).removeprefix("Column<'").removesuffix("'>")
 
+    def required_columns(self) -> set[str]:
+        """Names of the columns that the expression reads."""
+        from pyspark.sql import SparkSession
+
+        tree = SparkSession.active()._jsparkSession.expression(self.column._jc)
+        leaves = tree.collectLeaves()
+        found = (leaves.apply(i) for i in range(leaves.size()))
+        return {".".join(x.nameParts().apply(i) for i in range(x.nameParts().size())) for x in found if x.getClass().getSimpleName() == "UnresolvedAttribute"}
+
     @property
     def str(self) -> Strings:
         return Strings(self.column)

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from tessera.storage import broadcastable
+
 #: Rows of the driver-side sample from which output types are taken when only names are given.
 SAMPLE_ROWS = 64
 
@@ -48,6 +50,18 @@ class RangePartitioner:
     total: int | None = None
 
 
+@dataclass(frozen=True)
+class BroadcastPartitioner:
+    """Each executor gets all rows, which must be few enough to broadcast."""
+
+
+@dataclass(frozen=True)
+class FunctionPartitioner:
+    """f(df) is a column of executor numbers; they count modulo the number of executors."""
+
+    f: Callable[[DataFrame], Column]
+
+
 @dataclass(frozen=True)
 class SingleChannelStrategy:
     """One executor sees all batches; only for results that are small by then."""
@@ -60,9 +74,29 @@ class CustomChannelsStrategy:
     channels: int
 
 
+@dataclass(frozen=True)
+class DatasetStrategy(CustomChannelsStrategy):
+    """As many executors as a dataset has parts."""
+
+
+@dataclass(frozen=True)
+class TaggedCustomChannelsStrategy(CustomChannelsStrategy):
+    """A number of executors; Spark places tasks by itself, so the tag is kept for the reader alone."""
+
+    tag: str = ""
+
+
 def dealt(df: DataFrame, partitioner=None, placement=None) -> DataFrame:
     """df partitioned as asked for; without a wish, as it comes."""
     n = [placement.channels] if isinstance(placement, CustomChannelsStrategy) else []
+    if isinstance(partitioner, (BroadcastPartitioner, FunctionPartitioner)):
+        channels = n[0] if n else 1 if isinstance(placement, SingleChannelStrategy) else df.sparkSession.sparkContext.defaultParallelism
+        if isinstance(partitioner, FunctionPartitioner):
+            return df.repartitionById(channels, F.pmod(partitioner.f(df), F.lit(channels)).cast("int"))
+        if not broadcastable(df):
+            raise ValueError("the rows are too many to send to every executor: see spark.sql.autoBroadcastJoinThreshold")
+        copies = df.withColumn("__channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
+        return copies.repartitionById(channels, F.col("__channel")).drop("__channel")
     if isinstance(placement, SingleChannelStrategy):
         return df.coalesce(1)
     if isinstance(partitioner, HashPartitioner):

@@ -58,9 +58,18 @@ class TumblingWindow(EventWindow):
 
 @dataclass
 class SlidingWindow(EventWindow):
-    """For each event, the events of the last `size_before`: (t - size_before, t]."""
+    """For each event, the events of the last `size_before`: (t - size_before, t], and those up to `size_after` later.
+
+    With rows=True both count events: the size_before events that end with this one, and the size_after ones after it.
+    """
 
     size_before: Length
+    size_after: Length = 0
+    rows: bool = field(default=False, kw_only=True)
+
+    def frame(self) -> str:
+        back, ahead = length(self.size_before) - 1, length(self.size_after)
+        return f"{'ROWS' if self.rows else 'RANGE'} BETWEEN {back} PRECEDING AND {f'{ahead} FOLLOWING' if ahead else 'CURRENT ROW'}"
 
 
 @dataclass
@@ -92,7 +101,7 @@ def windowed(df: DataFrame, window: EventWindow, trigger) -> DataFrame:
     rows = df.withColumn("__t", ticks(df, time))
     on_event = isinstance(trigger, OnEventTrigger)
     if isinstance(window, SlidingWindow):
-        return _along(rows, window, f"PARTITION BY `{by}` ORDER BY __t RANGE BETWEEN {length(window.size_before) - 1} PRECEDING AND CURRENT ROW")
+        return _along(rows, window, f"PARTITION BY `{by}` ORDER BY __t {window.frame()}")
     if isinstance(window, SessionWindow):
         key = Window.partitionBy(f"`{by}`").orderBy("__t")
         gap = F.col("__t") - F.lag("__t").over(key)

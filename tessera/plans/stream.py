@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tessera.functions import Expression, sqltext, unwrap
 from tessera.operators import algebra, asof, stateful, vectors, windows
 from tessera.operators.timeaxis import length
-from tessera.storage import fresh_path, listed, settle
+from tessera.storage import broadcastable, listed, settle
 
 JOINS = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti", "right": "right", "outer": "full", "full": "full"}
 FUNCTIONS: dict[str, Callable[[Column], Column]] = {"min": F.min, "max": F.max, "mean": F.avg, "avg": F.avg, "sum": F.sum, "count": F.count}
@@ -212,6 +212,14 @@ class Stream:
     def except_(self, other: Stream) -> Stream:
         return self._new(self.df.subtract(other.df.select(*self.schema)))
 
+    def intersect_all(self, other: Stream) -> Stream:
+        """Rows of both, as often as in the one where they are rarer."""
+        return self._new(self.df.intersectAll(other.df.select(*self.schema)))
+
+    def except_all(self, other: Stream) -> Stream:
+        """Rows of this stream less those of the other, one for one."""
+        return self._new(self.df.exceptAll(other.df.select(*self.schema)))
+
     def distinct(self, keys: Sequence[str] | str | None = None) -> Stream:
         names = self.schema if keys is None else _list(keys)
         self._has(names)
@@ -246,7 +254,7 @@ class Stream:
         else:
             other = asof.renamed(self.df, right.df, rk, suffix).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(rk)})
             names = [c for c in other.columns if not c.startswith("__k")]
-        if broadcast and _fits(other):
+        if broadcast and broadcastable(other):
             other = F.broadcast(other)
         condition = F.lit(True)
         for i, k in enumerate(lk):
@@ -260,6 +268,23 @@ class Stream:
             out = out.orderBy(f"`{right.time}`")
         return self._new(out)
 
+    def join_where(self, right: Stream, condition: str, suffix: str = "_2", how: str = "inner") -> Stream:
+        """Join on a SQL condition over both sides' columns; right columns that collide have the suffix there and in the result.
+
+        A condition with an equality between the sides is planned as an equi-join.  Without one each pair of rows is looked at, which is done only
+        with a right side that is small enough to be sent to all tasks.
+        """
+        if how not in ("inner", "left", "semi", "anti"):
+            raise ValueError(f"unknown join {how!r} on a condition")
+        other = right.df.withColumnsRenamed({c: c + suffix for c in right.schema if c in self.schema})
+        found = self.df.join(other, _sql(condition, None), JOINS[how])
+        spread = found._jdf.queryExecution().sparkPlan().toString()
+        if "NestedLoop" in spread or "Cartesian" in spread:
+            if not broadcastable(other):
+                raise ValueError("the condition has no equality between the sides, and the right one is too large to be sent to all tasks")
+            found = self.df.join(F.broadcast(other), _sql(condition, None), JOINS[how])
+        return self._new(found)
+
     # Aggregates
 
     def groupby(self, keys: Sequence[str] | str, orderby: Sequence[str | tuple[str, str]] | str | None = None) -> GroupedStream:
@@ -438,6 +463,16 @@ class Dataset:
     def to_arrow(self) -> pa.Table:
         return self.df.toArrow()
 
+    def to_dict(self) -> dict[int, list[str]]:
+        """The files in which each part of the result lies."""
+        return dict(enumerate([f] for f in sorted(self.df.inputFiles())))
+
+    def to_ray_dataset(self):
+        """Needs ray; Ray reads the result's files by itself."""
+        import ray
+
+        return ray.data.read_parquet(sorted(self.df.inputFiles()))
+
     def length(self) -> int:
         return self.df.count()
 
@@ -450,11 +485,6 @@ def _order(columns: list[str], descending) -> list[Column]:
     return [F.col(f"`{c}`").desc_nulls_last() if d else F.col(f"`{c}`").asc_nulls_last() for c, d in zip(columns, ways, strict=True)]
 
 
-def _fits(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")))
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-
-
 def _aggregates(df: DataFrame, aggregations: Mapping[str, str | Sequence[str]]) -> list[Column]:
     out = []
     for column, functions in aggregations.items():

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 
 def folder(location: str) -> str:
@@ -40,17 +41,31 @@ def blobs(spark: SparkSession, location: str) -> DataFrame:
 
 def vectors(spark: SparkSession, location: str, column: str) -> DataFrame:
     if location.rstrip("/").endswith(".lance"):
-        if importlib.util.find_spec("lance") is None:
-            raise ImportError("reading Lance datasets needs the lance package")
-        import lance
-
-        return spark.createDataFrame(lance.dataset(location).to_table())
+        return lance(spark, location)
     df = parquet(spark, location)
     if not isinstance(df.schema[column].dataType, T.ArrayType):
         raise TypeError(f"{column} is not an array column")
     return df
 
 
+def lance(spark: SparkSession, location: str) -> DataFrame:
+    """A Lance dataset; tasks read its fragments, the driver only their numbers and the schema."""
+    if importlib.util.find_spec("lance") is None:
+        raise ImportError("reading Lance datasets needs the lance package")
+    from lance import dataset
+
+    whole = dataset(location)
+    numbers = [f.fragment_id for f in whole.get_fragments()]
+    parts = spark.createDataFrame([(n,) for n in numbers], "fragment long").repartitionById(max(1, len(numbers)), F.col("fragment").cast("int"))
+
+    def run(batches):
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                yield from dataset(location).get_fragment(number).to_batches()
+
+    return parts.mapInArrow(run, from_arrow_schema(whole.schema))
+
+
 def iceberg(spark: SparkSession, table: str, snapshot: int | None) -> DataFrame:
     """Needs the Iceberg runtime on the class path."""
     reader = spark.read.format("iceberg")

@@ -194,6 +194,88 @@ def test_partitioners_and_placements(spark):
     assert sum(n for _, n in spread) == 100 and len(spread) > 5
 
 
+def test_broadcast_and_function_partitioners(spark):
+    from tessera.operators.stateful import BroadcastPartitioner, CustomChannelsStrategy, DatasetStrategy, FunctionPartitioner, TaggedCustomChannelsStrategy
+    from tessera.queries.udfs import CountByKey
+
+    s = Stream(spark.createDataFrame([(i % 5, i) for i in range(100)], "o_custkey long, o_orderkey long").repartition(6)).compute()
+    s = Stream(s.df)
+
+    def counted(partitioner, placement):
+        return got(s.stateful_transform(CountByKey, "o_custkey long, n long", {"o_custkey", "o_orderkey"}, partitioner, placement))
+
+    assert counted(BroadcastPartitioner(), DatasetStrategy(3)) == [(k, 20) for k in range(5) for _ in range(3)]
+    assert counted(FunctionPartitioner(lambda df: df.o_custkey + 7), TaggedCustomChannelsStrategy(2, "gpu")) == [(k, 20) for k in range(5)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        with pytest.raises(ValueError, match="too many"):
+            counted(BroadcastPartitioner(), CustomChannelsStrategy(3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_expressions_know_their_columns(spark):
+    s = make(spark, [(1, 2.0, "x")], "a int, b double, c string")
+    assert (s["a"] + s["b"] * 2 > 1).required_columns() == {"a", "b"}
+    assert s["c"].str.to_uppercase().required_columns() == {"c"}
+
+
+def test_joins_on_conditions(spark):
+    a, b = make(spark, [(1, 5), (2, 9), (3, 1)], "k int, v int"), Stream(make(spark, [(1, 4), (2, 9), (2, 3)], "k int, lo int").compute().df)
+    assert got(a.join_where(b, "k = k_2 and v > lo")) == [(1, 5, 1, 4), (2, 9, 2, 3)]
+    assert got(a.join_where(b, "v > lo and v < 9")) == [(1, 5, 1, 4), (1, 5, 2, 3)]
+    assert got(a.join_where(b, "v >= lo and k = k_2", how="anti")) == [(3, 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        with pytest.raises(ValueError, match="equality"):
+            a.join_where(b, "v > lo")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_set_operations_with_repeats(spark):
+    a, b = make(spark, [(1,), (1,), (1,), (2,)], "k int"), make(spark, [(1,), (1,), (3,)], "k int")
+    assert got(a.intersect_all(b)) == [(1,), (1,)] and got(a.except_all(b)) == [(1,), (2,)]
+
+
+def test_sliding_frames_of_rows_and_ahead(spark):
+    s = make(spark, [("a", t, t) for t in (1, 2, 4, 8)], "k string, t long, v long", "t")
+    rows = s.windowed_transform(SlidingWindow("t", "k", 2, 1, rows=True, aggregation_dict={"x": "sum(v)"}), OnEventTrigger())
+    assert [r[2] for r in got(rows)] == [3, 7, 14, 12]
+    ahead = s.windowed_transform(SlidingWindow("t", "k", 2, 4, aggregation_dict={"x": "sum(v)"}), OnEventTrigger())
+    assert [r[2] for r in got(ahead)] == [7, 7, 12, 8]
+
+
+def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
+    """A row that comes after its window has been given out is dropped."""
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    for n, hours in enumerate([(0, 1, 9), (8, 10), (1, 11, 20), (21,)]):
+        spark.createDataFrame([(at(h), "k", h) for h in hours], "ts timestamp, k string, v int").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    stream = spark.readStream.schema("ts timestamp, k string, v int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/[0-9]")
+    window = TumblingWindow("ts", "k", dt.timedelta(hours=4), aggregation_dict={"n": "count(*)"})
+    out = got(Stream(streaming.drained(streaming.windowed(stream, window, OnCompletionTrigger(dt.timedelta(hours=1))))))
+    assert out == [(at(0), "k", 2), (at(8), "k", 4)]  # one o'clock of the third file is late, eleven is not
+
+
+def test_fragments_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    """A stand-in for the package that the machine lacks."""
+    (tmp_path / "lance.py").write_text(
+        "import pyarrow as pa\n"
+        "class Fragment:\n"
+        "    def __init__(self, n): self.fragment_id = n\n"
+        "    def to_batches(self): return [pa.record_batch({'i': pa.array([self.fragment_id], pa.int64()), 'v': [[1.0, 2.0]]})]\n"
+        "class Whole:\n"
+        "    schema = Fragment(0).to_batches()[0].schema\n"
+        "    def get_fragments(self): return [Fragment(n) for n in range(3)]\n"
+        "    def get_fragment(self, n): return Fragment(n)\n"
+        "    def to_table(self): raise RuntimeError('not through the driver')\n"
+        "def dataset(at): return Whole()\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "lance.py"))
+    assert got(Context(spark).read_lance("/nowhere/x.lance", "v")) == [(i, [1.0, 2.0]) for i in range(3)]
+
+
 class Service(http.server.BaseHTTPRequestHandler):
     def answer(self, body):
         self.send_response(200 if body is not None else 404)
