@@ -199,7 +199,7 @@ def q20(t):
 
 @query("""SELECT l_orderkey, min(l_suppkey) AS suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) = 1""")
 def q21(t):
-    d = t.lineitem.groupby("l_orderkey").agg_sql("array_agg(distinct l_suppkey) as every, array_agg(distinct case when l_returnflag = 'R' then l_suppkey end) as late")
+    d = t.lineitem.groupby("l_orderkey").agg_sql("array_agg(distinct l_suppkey) as every, array_agg(distinct l_suppkey) filter (where l_returnflag = 'R') as late")
     return d.filter_sql("size(every) >= 2 and size(late) = 1").transform_sql("l_orderkey as l_orderkey, array_min(every) as suppkey")
 
 

@@ -5,6 +5,7 @@ import http.server
 import itertools
 import json
 import random
+import sys
 import threading
 
 import pyarrow as pa
@@ -272,8 +273,13 @@ def test_fragments_are_read_in_tasks(spark, tmp_path, monkeypatch):
         "def dataset(at): return Whole()\n"
     )
     monkeypatch.syspath_prepend(str(tmp_path))
+    before = list(sys.path)
     spark.sparkContext.addPyFile(str(tmp_path / "lance.py"))
-    assert got(Context(spark).read_lance("/nowhere/x.lance", "v")) == [(i, [1.0, 2.0]) for i in range(3)]
+    try:
+        assert got(Context(spark).read_lance("/nowhere/x.lance", "v")) == [(i, [1.0, 2.0]) for i in range(3)]
+    finally:
+        sys.path[:] = before
+        sys.modules.pop("lance", None)
 
 
 class Service(http.server.BaseHTTPRequestHandler):
