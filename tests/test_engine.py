@@ -2,14 +2,17 @@
 
 import datetime as dt
 import http.server
+import importlib
 import itertools
 import json
+import pathlib
 import random
 import sys
 import threading
 
 import pyarrow as pa
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from tessera import streaming
@@ -280,6 +283,8 @@ def test_fragments_are_read_in_tasks(spark, tmp_path, monkeypatch):
     finally:
         sys.path[:] = before
         sys.modules.pop("lance", None)
+        pathlib.Path(SparkFiles.get("lance.py")).unlink()
+        importlib.invalidate_caches()
 
 
 class Service(http.server.BaseHTTPRequestHandler):
