@@ -1,8 +1,10 @@
 """Best-fit packing of tokenised documents into sequences by exact-complement hashing.
 
 Which documents have a length does not matter to a packing, so it is planned on counts by length, of which there
-are at most `capacity`.  The longest length left opens a sequence; its gap is looked up among single lengths, sums of two
-and sums of three under the counts still available, and the combination is used as often as they allow.
+are at most `capacity`.  An index holds, for each sum, the pairs of lengths that make it and the longest members of triples that do.
+The longest length left opens a sequence; its gap is looked up among single lengths, pairs and triples
+under the counts still available, and the combination is used as often as they allow.  Counts only fall, so entries that
+they no longer cover leave the index for good.
 Where nothing fills the gap exactly, the longest length that fits goes in and the smaller gap is looked up.
 
 Documents then take the plan's slots by their rank within their length.  Ranks come from counts by
@@ -23,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_bytes, hash_spans, stage, text_slices
 
@@ -184,7 +187,8 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     The first piece of a longer document takes what is left over by the others, which are full.
     """
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long").fields])
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -196,7 +200,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 ids, sizes = own.column(batch.column(1))
                 out: list[list] = [[], [], [], [], []]
                 at = 0
-                for k, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                for k, n in enumerate(sizes.tolist()):
                     doc = np.append(ids[at : at + n], np.uint32(SEPARATOR)).astype("<u4")
                     at += n
                     lo, piece = 0, 0
@@ -205,29 +209,63 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                         for column, v in zip(out, (k, piece, lo, hi - lo, zlib.crc32(doc[lo:hi].tobytes())), strict=True):
                             column.append(v)
                         lo, hi, piece = hi, hi + capacity, piece + 1
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], names=["key", "piece", "start", "length", "ids_crc32"])
+                keys = batch.column(0).take(pa.array(out[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], names=schema.names)
 
-    return rows.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, schema)
+
+
+class Complements:
+    """An index of the lengths still to be packed: pairs of them, and longest members of triples, by their sum."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        there = np.flatnonzero(left > 0)
+        self.pairs: dict[int, np.ndarray] = {}  # of each sum the longer members, ascending
+        self.triples: dict[int, np.ndarray] = {}  # of each sum the longest members, ascending; made when first asked for
+        for total in range(2, len(left)):
+            long = there[(2 * there >= total) & (there < total)]
+            if len(long := long[left[total - long] > 0]):
+                self.pairs[total] = long
+
+    def _covered(self, total: int, long: np.ndarray) -> np.ndarray:
+        return (self.left[long] > 0) & (self.left[total - long] > (2 * long == total))
+
+    def pair(self, total: int, most: int) -> list[int] | None:
+        """The pair of that sum with the longest member, of `most` at most."""
+        long = self.pairs.get(total)
+        if long is None:
+            return None
+        long = long[: np.searchsorted(long, most, "right")]
+        long = long[self._covered(total, long)]
+        return [int(long[-1]), total - int(long[-1])] if len(long) else None
+
+    def fill(self, gap: int) -> list[int] | None:
+        """One, two or three lengths that fill the gap exactly under the counts left, the longest first; None if none do."""
+        if self.left[gap] > 0:
+            return [gap]
+        if gap in self.pairs:
+            kept = self.pairs[gap][self._covered(gap, self.pairs[gap])]
+            if not len(kept):
+                del self.pairs[gap]  # counts only fall
+            else:
+                self.pairs[gap] = kept
+                return [int(kept[-1]), gap - int(kept[-1])]
+        if gap not in self.triples:
+            self.triples[gap] = np.array([a for a in range(-(-gap // 3), gap - 1) if gap - a in self.pairs], np.int64)
+        self.triples[gap] = found = self.triples[gap][self.left[self.triples[gap]] > 0]
+        for a in found[::-1].tolist():
+            self.left[a] -= 1
+            two = self.pair(gap - a, a)
+            self.left[a] += 1
+            if two:
+                return [a, *two]
+        return None
 
 
 def complement(left: np.ndarray, gap: int) -> list[int] | None:
     """One, two or three lengths that fill the gap exactly under the counts left, the longest first; None if none do."""
-    if left[gap] > 0:
-        return [gap]
-    long = np.arange(gap - 1, (gap - 1) // 2, -1)
-    two = long[(left[long] > 0) & (left[gap - long] > (long == gap - long))]
-    if len(two):
-        return [int(two[0]), gap - int(two[0])]
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if left[a] > 0:
-            rest = gap - a
-            b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-            c = rest - b
-            need_b, need_c = 1 + (b == a), 1 + (c == b) + (c == a)
-            three = b[(left[b] >= need_b) & (left[c] >= need_c)]
-            if len(three):
-                return [a, int(three[0]), rest - int(three[0])]
-    return None
+    return Complements(left).fill(gap)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -235,7 +273,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
-    out = []
+    index, out = Complements(left), []
     top = capacity
     while True:
         while top > 0 and left[top] == 0:
@@ -243,24 +281,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         if top == 0:
             return out
         found, gap = [top], capacity - top
-        trial = left.copy()
-        trial[top] -= 1
+        left[top] -= 1
         while gap > 0:
-            fill = complement(trial, gap)
-            if fill:
+            if fill := index.fill(gap):
                 found += fill
+                for n in fill:
+                    left[n] -= 1
                 break
-            fits = np.flatnonzero(trial[1 : gap + 1] > 0)
+            fits = np.flatnonzero(left[1 : gap + 1] > 0)
             if not len(fits):
                 break
             best = int(fits[-1]) + 1
             found.append(best)
-            trial[best] -= 1
+            left[best] -= 1
             gap -= best
         lengths, times = np.unique(found, return_counts=True)
-        often = int((left[lengths] // times).min())
+        often = int((left[lengths] // times).min())  # as often again as the counts allow
         left[lengths] -= often * times
-        out.append((found, often))
+        out.append((found, often + 1))
 
 
 def slots(planned: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,17 +319,19 @@ def slots(planned: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray,
 def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset; one row a piece.
 
-    A null or empty text is the separator alone.  Repeated rows are packed as often as they occur.  An empty table
+    A null or empty text is the separator alone; texts of any length are tokenised whole, and only those beyond a sequence are cut.
+    Repeated rows are packed as often as they occur, rows that share a key each for itself.  Keys may be of any type; other columns, whatever
+    their names, are not looked at.  Among equally long pieces it is their place in the table that decides.  An empty table
     gives no rows.  Only the counts by length (at most `capacity`) reach the driver.
     """
-    rows = stage(pieces(df, tokenizer, key, text, capacity), "pieces")
+    rows = stage(pieces(df, tokenizer, key, text, capacity).withColumn("at", F.monotonically_increasing_id()), "pieces")
     salts = max(64, rows.count() // 100_000)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(salts)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("c"))
     shared = df.sparkSession.sparkContext.broadcast(slots(plan({r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}, capacity)))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counts.select("length", "salt", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece", "ids_crc32"))
+    place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("at"))
     ranked = rows.withColumn("place", place).join(begins, ["length", "salt"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place") - 1).alias("rank"))
 
     def placed(batches):
@@ -299,6 +339,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             rank = batch.column(3).to_numpy() * _RANK + batch.column(5).to_numpy()
             i = np.searchsorted(first, rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[i] + rank - first[i]), pa.array(offset[i])], names=[key, *batch.schema.names[1:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[i] + rank - first[i]), pa.array(offset[i])], names=schema.names)
 
-    return ranked.mapInArrow(placed, f"`{key}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType), *rows.schema.fields[1:5], *T.StructType.fromDDL("sequence_id long, offset long").fields])
+    return ranked.mapInArrow(placed, schema)

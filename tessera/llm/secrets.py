@@ -119,7 +119,13 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans, and all spans: the battery's are added where they touch no base span."""
     base = base_spans(text)
-    extra = [(s, "random", e) for s, e in random_spans(text) if not any(s < y and x < e for x, _, y in base)]
+    extra, at, reach = [], 0, 0  # reach: the furthest end of base spans that begin before the token ends
+    for s, e in random_spans(text):
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s:
+            extra.append((s, "random", e))
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -134,7 +140,9 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     """Kept columns (all of df's by default), then n_assign, n_access, n_hex, n_random, base_sha256, spans, redacted.
 
     Offsets are code points, ends exclusive.  A null text has no spans and stays null in `redacted`, where each span
-    (overlapping ones together) reads ``[SECRET]``.  Columns named as outputs are replaced.
+    (overlapping ones together) reads ``[SECRET]``; an empty one stays empty.  Texts of any length are looked at whole, in one step each.
+    Spans that start together go by kind in the order listed.  Repeated rows come out alike, since tests and the false-discovery control see one
+    text at a time; an empty table gives no rows.  Columns named as outputs are replaced.
     """
     new = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("redacted", T.StringType())]
     base = drop_clashing(df, [f.name for f in new if f.name != text])
