@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import Expression, sqltext, unwrap
-from tessera.operators import algebra, asof, stateful, vectors, windows
+from tessera.operators import algebra, asof, clustering, stateful, vectors, windows
 from tessera.operators.timeaxis import length
 from tessera.storage import broadcastable, listed, settle
 
@@ -370,6 +370,16 @@ class Stream:
         frame, mine, theirs = self._vectors(probe_df, vec_column, vec_column_left, vec_column_right)
         return Stream(vectors.within(self.df, frame, mine, theirs, threshold, suffix))
 
+    def inverted_lists(self, vec_column: str, lists: int, sample_rows: int = 100_000) -> clustering.InvertedLists:
+        """An index of all rows by the nearest of `lists` centres, which are fitted on a sample; see `search_lists`."""
+        self._has([vec_column])
+        return clustering.inverted_lists(self.df, vec_column, lists, sample_rows)
+
+    @staticmethod
+    def search_lists(index: clustering.InvertedLists, probes: Stream, vec_column: str, k: int, looked_at: int, suffix: str = "_probe") -> Stream:
+        """The k rows nearest to each probe in the `looked_at` lists nearest to it, by exact cosine."""
+        return Stream(clustering.search(index, probes.df, vec_column, k, looked_at, suffix))
+
     # Time
 
     def ordered(self, time: str) -> OrderedStream:

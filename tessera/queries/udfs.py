@@ -22,7 +22,14 @@ def _net(table: pa.Table) -> pa.Table:
     return pa.table({"l_orderkey": table["l_orderkey"], "net": pc.round(pc.multiply(table["l_extendedprice"], pc.subtract(1.0, table["l_discount"])), 4)})
 
 
-query("SELECT l_orderkey, round(l_extendedprice*(1-l_discount),4) AS net FROM lineitem", "transform_udf")(lambda t: t.lineitem.transform(_net, ["l_orderkey", "net"], {"l_orderkey", "l_extendedprice", "l_discount"}).transform_sql("l_orderkey as l_orderkey, round(net, 4) as net"))
+query(
+    """SELECT l_orderkey, round(l_extendedprice*(1-l_discount),4) AS net
+     FROM lineitem""",
+    "transform_udf",
+)(
+    lambda t: t.lineitem.transform(_net, ["l_orderkey", "net"], {"l_orderkey", "l_extendedprice", "l_discount"})
+        .transform_sql("l_orderkey as l_orderkey, round(net, 4) as net")
+)
 
 
 class CountByKey(Executor):
@@ -40,8 +47,26 @@ class CountByKey(Executor):
         return pa.table({"o_custkey": pa.array(list(self.sums), pa.int64()), "n": pa.array(list(self.sums.values()), pa.int64())})
 
 
-query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL", "stateful_by_key")(lambda t: t.orders.stateful_transform(CountByKey, "o_custkey long, n long", ["o_custkey", "o_orderkey"], by="o_custkey"))
-query("SELECT o_custkey, sum(n)::BIGINT AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) GROUP BY ALL", "udaf_partial_final")(lambda t: t.orders.stateful_transform(CountByKey, ["o_custkey", "n"], ["o_custkey", "o_orderkey"]).groupby("o_custkey").agg_sql("sum(n) as n"))
+query(
+    """SELECT o_custkey, count(*) AS n
+     FROM orders
+     GROUP BY ALL""",
+    "stateful_by_key",
+)(
+    lambda t: t.orders.stateful_transform(CountByKey, "o_custkey long, n long", ["o_custkey", "o_orderkey"], by="o_custkey")
+)
+query(
+    """SELECT o_custkey, sum(n)::BIGINT AS n
+     FROM (SELECT o_custkey, count(*) AS n
+     FROM orders
+     GROUP BY ALL)
+     GROUP BY ALL""",
+    "udaf_partial_final",
+)(
+    lambda t: t.orders.stateful_transform(CountByKey, ["o_custkey", "n"], ["o_custkey", "o_orderkey"])
+        .groupby("o_custkey")
+        .agg_sql("sum(n) as n")
+)
 
 
 class Margins(Executor):
@@ -56,7 +81,14 @@ class Margins(Executor):
         return pa.table({"k": [self.key], "left_rows": [self.seen[0]], "right_rows": [self.seen[1]]})
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(l, 0) AS left_rows, coalesce(r, 0) AS right_rows FROM (SELECT s_nationkey AS k, count(*) AS l FROM supplier GROUP BY ALL) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS r FROM customer GROUP BY ALL) b ON a.k = b.k")
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(l, 0) AS left_rows, coalesce(r, 0) AS right_rows
+ FROM (SELECT s_nationkey AS k, count(*) AS l
+ FROM supplier
+ GROUP BY ALL) a
+ FULL
+ JOIN (SELECT c_nationkey AS k, count(*) AS r
+ FROM customer
+ GROUP BY ALL) b ON a.k = b.k""")
 def cogroup_executor(t):
     a = t.supplier.transform_sql("s_nationkey as k, s_suppkey as id")
     b = t.customer.transform_sql("c_nationkey as k, c_custkey as id")
@@ -68,8 +100,18 @@ class Tagged(Executor):
         return [pa.table({"stream": pa.array([stream_id] * b.num_rows, pa.int32()), "id": b["id"]}) for b in batches]
 
 
-query("SELECT stream, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT 0 AS stream, s_suppkey AS id FROM supplier UNION ALL SELECT 1, c_custkey FROM customer) GROUP BY ALL", "mingle_streams")(
-    lambda t: t.ctx.mingle([t.supplier.transform_sql("s_suppkey as id"), t.customer.transform_sql("c_custkey as id")], Tagged, "stream int, id long", [["id"], ["id"]]).groupby("stream").agg_sql("count(*) as n, sum(id) as ids")
+query(
+    """SELECT stream, count(*) AS n, sum(id)::BIGINT AS ids
+     FROM (SELECT 0 AS stream, s_suppkey AS id
+     FROM supplier
+     UNION ALL SELECT 1, c_custkey
+     FROM customer)
+     GROUP BY ALL""",
+    "mingle_streams",
+)(
+    lambda t: t.ctx.mingle([t.supplier.transform_sql("s_suppkey as id"), t.customer.transform_sql("c_custkey as id")], Tagged, "stream int, id long", [["id"], ["id"]])
+        .groupby("stream")
+        .agg_sql("count(*) as n, sum(id) as ids")
 )
 
 
@@ -140,4 +182,11 @@ class Squares:
 
 
 query("SELECT i, i * i AS square FROM range(20) r(i)", "custom_source")(lambda t: t.ctx.read_custom(Squares(), "i long, square long", 4))
-query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL", "sql_text")(lambda t: t.ctx.sql("SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY ALL", customer=t.customer))
+query(
+    """SELECT c_mktsegment, count(*) AS n
+     FROM customer
+     GROUP BY ALL""",
+    "sql_text",
+)(
+    lambda t: t.ctx.sql("SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY ALL", customer=t.customer)
+)

@@ -391,6 +391,24 @@ def test_vectors_that_cannot_be_compared(spark):
         rows.vector_nn_join(make(spark, [(1, [1.0]), (2, [1.0, 2.0])], "pid long, w array<double>"), k=1, **args)
 
 
+def test_inverted_lists_find_most_neighbours(spark):
+    import numpy as np
+
+    from tessera.operators import clustering
+
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + 0.4 * r.normal(size=(40, 8)) for c in 2 * r.normal(size=(12, 8))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [None] * 8)], "id long, v array<double>").repartition(4)
+    probes = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, len(x), 10)], "pid long, w array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), p) for p in range(0, len(x), 10) for i in np.argsort(-unit @ unit[p], kind="stable")[:5]}
+    index = clustering.inverted_lists(rows, "v", 12)
+    assert index.rows.count() == len(x) and len(index.centres) == 12
+    some, every = ({tuple(r) for r in clustering.search(index, probes, "w", 5, n).select("id", "pid").collect()} for n in (3, 12))
+    assert every == want
+    assert len(some & want) >= 0.9 * len(want)
+
+
 def test_csv_rules(ctx, tmp_path):
     (tmp_path / "a.csv").write_text("1|x|\n2|y|\n")
     assert got(ctx.read_csv(str(tmp_path / "a.csv"), ["k", "v", "null"], sep="|").drop(["null"])) == [(1, "x"), (2, "y")]
