@@ -1,3 +1,5 @@
+import zlib
+
 import fixtures
 import numpy as np
 import pytest
@@ -77,6 +79,26 @@ def test_accuracy_on_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_query_by_brute_force(spark):
+    """Every document of a small table, by substring search in the learned texts."""
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf)
+    model = L.fit(docs.where(queries.crc_bucket("doc_id", 5) != 0).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts) == docs.count()
+    for i, text in texts.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if text is None or not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+        elif len(text) <= 2500:  # longer ones take minutes this way
+            data = L.normalised([text])[0].tobytes()
+            cost = sorted((phrases(data, s) * np.log2(len(s)) / len(data), n) for n, s in model.samples)
+            assert got[i].lang_pred == cost[0][1] and got[i].score == pytest.approx(1 - cost[0][0] / cost[1][0])
+
+
 def test_edges(spark):
     docs = fixtures.frame(spark)
     out = L.identify(docs, L.fit(docs)).collect()

@@ -58,3 +58,39 @@ def test_rows_of_one_key_keep_their_own_texts(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted(r.text for r in got) == sorted({r[1] for r in rows}) and [r.doc_id for r in got].count(None) == 1
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage on a small table of the tests: who stays and what becomes of the texts."""
+    from test_dedup import brute
+    from tokenizers import Tokenizer
+
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    (_, language), (_, dedup), (_, redact), (_, mix), (_, pack) = corpus_pipeline.STAGES
+    one = language(spark, docs, sf).cache()
+    kept = {r.doc_id: r.text for r in one.collect()}
+    assert kept == {k: t for k, t in texts.items() if t and any(map(str.isalpha, t))}
+    two = dedup(spark, one, sf).cache()
+    least = brute(sorted(kept.items()))[1]
+    assert {r.doc_id for r in two.collect()} == {k for k, c in least.items() if k == c} and two.count() < one.count()
+    three = redact(spark, two, sf).cache()
+    for r in three.collect():
+        assert r.text == secrets.redact(kept[r.doc_id], secrets.spans(kept[r.doc_id])[1])
+    four = mix(spark, three, sf).cache()
+    often = {}
+    for r in four.collect():
+        often[r.doc_id] = often.get(r.doc_id, 0) + 1
+    share = {r.doc_id: r for r in queries.mixing.mix(three).collect()}
+    assert often == {k: n for k, r in share.items() if (n := int(r.taken / r.size + 0.5) if r.size else 1)}
+    five = pack(spark, four, sf).toPandas()
+    own = Tokenizer.from_file(queries.tokenizer_path())
+    told = {r.doc_id: len(own.encode(r.text, add_special_tokens=False).ids) + 1 for r in three.collect() if r.doc_id in often}
+    assert five.groupby("doc_id").length.sum().to_dict() == {k: n * often[k] for k, n in told.items()}
+    for _, g in five.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+    assert five.sequence_id.nunique() <= -(-int(five.length.sum()) // 2048) * 1.02 + 1

@@ -82,6 +82,31 @@ def test_tokens_beside_an_equals_sign():
     assert not any(secrets.random_spans(t) for t in quiet)
 
 
+def test_secrets_query_by_brute_force(spark):
+    """Every document of a small table: base spans by pattern, the method's by Benjamini and Hochberg's step-up over the battery."""
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in queries.documents(spark, sf).collect()}
+    rows = queries.op3_secrets(spark, sf).collect()
+    assert len(rows) == len(texts)
+    hits = 0
+    for r in rows:
+        text = texts[r.doc_id]
+        base = by_pattern(text, SECRETS)
+        tried = [(secrets.battery(m[0]), m.span()) for m in secrets._TOKEN.finditer(text) if secrets.battery(m[0])]
+        ranked = sorted(p[1] for p, _ in tried)
+        passed = max([p for i, p in enumerate(ranked) if p <= secrets.FDR * (i + 1) / len(ranked)], default=-1)
+        more = [(s, "random", e) for (uniform, p), (s, e) in tried if p <= passed and uniform >= secrets.ALPHA and not any(s < y and x < e for x, _, y in base)]
+        every = sorted(base + more, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+        told = ",".join(f"{k}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in ("assign", "access", "hex"))
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, k, e in every)
+        hits += len(every)
+    assert hits
+
+
 def test_secret_edges(spark):
     docs = fixtures.frame(spark)
     rows = secrets.scan(docs).collect()
