@@ -51,6 +51,24 @@ def join_asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
     return out.select("__l.*", *[F.when(F.col("__t").isNotNull(), F.col("__m")[n]).alias(n) for n in names])
 
 
+#: Rows of a key above which an automatic bucket splits it, so that a stretch holds about as many.
+STRETCH_ROWS = 2_000_000
+
+
+def fitting_bucket(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by: list[str], right_by: list[str]) -> int | None:
+    """The stretch of time that holds about STRETCH_ROWS rows of the fullest key; None if no key has more.
+
+    Runs one count by key over both sides; only the fullest key reaches the driver.
+    """
+    sides = [df.select(*[F.col(f"`{b}`").alias(f"k{i}") for i, b in enumerate(by)], ticks(df, on).alias("t")) for df, on, by in ((left, left_on, left_by), (right, right_on, right_by))]
+    rows = sides[0].unionByName(sides[1]).where("t is not null")
+    counts = rows.groupBy(*[f"k{i}" for i in range(len(left_by))]).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    fullest = counts.orderBy(F.desc("n")).select("n", "span").first()
+    if fullest is None or fullest["n"] <= STRETCH_ROWS:
+        return None
+    return max(1, fullest["span"] * STRETCH_ROWS // fullest["n"])
+
+
 def join_range(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by: list[str], right_by: list[str], before: int, suffix: str = "_2") -> DataFrame:
     """All right rows of the key with left time - before <= right time <= left time; the right time is kept.
 

@@ -413,9 +413,13 @@ class OrderedStream(Stream):
         return lo, ro, lb, rb
 
     def join_asof(self, right: Stream, on=None, left_on=None, right_on=None, by=None, left_by=None, right_by=None, suffix: str = "_2", bucket=None) -> Stream:
-        """Each row with the last right row of its key at or before its time, nulls if none; `bucket` splits keys by time against skew."""
+        """Each row with the last right row of its key at or before its time, nulls if none.
+
+        `bucket` splits keys by stretches of time against skew; "auto" counts rows by key at once and splits only if a key is too full for a task.
+        """
         sides = self._sides(right, on, left_on, right_on, by, left_by, right_by)
-        return self._new(asof.join_asof(self.df, right.df, *sides, suffix, length(bucket) if bucket else None))
+        stretch = asof.fitting_bucket(self.df, right.df, *sides) if bucket == "auto" else length(bucket) if bucket else None
+        return self._new(asof.join_asof(self.df, right.df, *sides, suffix, stretch))
 
     def join_range(self, right: Stream, before, on=None, left_on=None, right_on=None, by=None, left_by=None, right_by=None, suffix: str = "_2") -> Stream:
         """Each row with all right rows of its key in [time - before, time]."""

@@ -89,6 +89,19 @@ def asof(left, right):
     return sorted(out, key=repr)
 
 
+def test_asof_bucket_from_the_data(spark, monkeypatch):
+    from tessera.operators import asof as operator
+
+    r = random.Random(2)
+    left, right = ([(r.choice(["hot"] * 9 + ["a"]), r.randrange(1000), i) for i in range(n)] for n in (300, 200))
+    a, b = make(spark, left, "k string, t long, x long", "t"), make(spark, right, "k string, t long, y long", "t")
+    plain = got(a.join_asof(b, on="t", by="k"))
+    sides = (a.df, b.df, "t", "t", ["k"], ["k"])
+    assert operator.fitting_bucket(*sides) is None and got(a.join_asof(b, on="t", by="k", bucket="auto")) == plain
+    monkeypatch.setattr(operator, "STRETCH_ROWS", 50)
+    assert 50 < operator.fitting_bucket(*sides) < 250 and got(a.join_asof(b, on="t", by="k", bucket="auto")) == plain
+
+
 @pytest.mark.parametrize("bucket,parts", [(None, 1), (None, 7), (5, 3), (1, 2), (1000, 4)])
 def test_asof_with_ties_nulls_and_hot_keys(spark, bucket, parts):
     r = random.Random(parts)
