@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -28,10 +31,36 @@ _BLOCK = CHUNK_BYTES
 _powers: dict[int, np.ndarray] = {}
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_working: list[str] = []
+
+
+def caches(operator: str, clear: Callable[[], None]) -> None:
+    """Register how to clear what a worker keeps for an operator between tasks."""
+    _caches[operator] = clear
+
+
+def working(operator: str) -> None:
+    """A task of an operator begins: a worker, which serves many, lets go of what it kept for others and gives memory back."""
+    if _working != [operator]:
+        for name, clear in _caches.items():
+            if name != operator:
+                clear()
+        _working[:] = [operator]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; only a local session (tests) may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -207,3 +236,6 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         total = total * np.uint64(BASE) + words[k : k + n - width + 1]
     return mix(total)
+
+
+caches("hashes", _powers.clear)

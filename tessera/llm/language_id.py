@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import CHUNK_BYTES, drop_clashing, text_slices
+from tessera.llm.common import CHUNK_BYTES, caches, drop_clashing, text_slices, working
 
 UNDETERMINED = "und"
 #: Bytes of a stretch; long texts advance in parallel.
@@ -36,6 +36,7 @@ _FLAG = np.int32(1 << 30)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _tables: OrderedDict[bytes, np.ndarray] = OrderedDict()
+caches("language", _tables.clear)
 
 
 @dataclass(frozen=True)
@@ -270,6 +271,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     shared = base.sparkSession.sparkContext.broadcast(model)  # docs_per_lang texts of at most sample_chars for each language
 
     def run(batches):
+        working("language")
         own = shared.value
         names = np.array([n for n, _ in own.samples], object)
         limit = CHUNK_BYTES if _fits(own) else MANY_BYTES

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, stage, text_slices, word_spans
+from tessera.llm.common import arrow_bytes, hash_spans, mix, shingle_hashes, stage, text_slices, word_spans, working
 from tessera.llm.components import components
 
 WIDTH, TREES, LEAF, DEPTH, BLOCK = 5, 17, 256, 4, 1024
@@ -135,6 +135,7 @@ def entities(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     more = T.StructType.fromDDL(_SET_TYPES)
 
     def run(batches):
+        working("minhash")
         number = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in text_slices(whole, 1, SLICE):
@@ -208,6 +209,7 @@ def deeper_values(texts: DataFrame) -> DataFrame:
     """(sid, sig): the minwise values of the levels after the first, of texts (sid, text)."""
 
     def run(batches):
+        working("minhash")
         for whole in batches:
             for batch in text_slices(whole, 1, SLICE):
                 sets = shingle_sets(batch.column(1))
@@ -283,6 +285,7 @@ def nearest_pairs(live: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.join(reps.select("sid", "n", "sketch"), "sid").select("unit", "sid", "n", "sketch").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
+        working("minhash")
         for _, sid, n, sketch in _grouped(batches, 3):
             for lo in range(0, len(sid), BLOCK):
                 part = slice(lo, lo + BLOCK)
@@ -345,6 +348,7 @@ def cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     dealt = dealt.select("unit", "node", "sid", "comp", "side", "n", "nodes", "sketch").repartition("unit").sortWithinPartitions("unit", "sid")
 
     def compared(batches):
+        working("minhash")
         for _, node, sid, comp, side, n, nodes, sketch in _grouped(batches, 7):
             if side[0] == 2:
                 x = y = np.arange(len(sid))
@@ -370,6 +374,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
+        working("minhash")
         last: tuple = (None, None)
         for whole in batches:
             for batch in text_slices(whole, 2, SLICE):

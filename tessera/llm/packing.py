@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_bytes, hash_spans, stage, text_slices
+from tessera.llm.common import arrow_bytes, caches, hash_spans, stage, text_slices, working
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Bytes of a text that are split into words at once, and words whose ids a worker remembers.
@@ -180,6 +180,7 @@ class PieceTokenizer:
 
 _KEYS = np.random.Generator(np.random.PCG64(50)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _tokenizers: dict[str, PieceTokenizer] = {}
+caches("packing", _tokenizers.clear)
 
 
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -191,6 +192,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long").fields])
 
     def run(batches):
+        working("packing")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = PieceTokenizer(tokenizer)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_clashing, stage, text_slices
+from tessera.llm.common import stage, text_slices, working
 
 # The kinds and patterns of the scan's contract.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -272,6 +272,7 @@ def propose(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = to_arrow_type(_CAND)
 
     def run(batches):
+        working("pii")
         for whole in batches:
             for batch in text_slices(whole, 1):
                 base, found = [], []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_clashing, text_slices
+from tessera.llm.common import drop_clashing, text_slices, working
 
 # The kinds and patterns of the scan's contract.
 KINDS = ("assign", "access", "hex", "random")
@@ -151,6 +151,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     schema = T.StructType([*base.schema.fields[:-1], *new])
 
     def run(batches):
+        working("secrets")
         for whole in batches:
             for batch in text_slices(whole, len(keep)):
                 rows: list[list] = [[] for _ in new]
