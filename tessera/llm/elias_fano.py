@@ -5,17 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ones_before(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), np.uint64)
-    k = k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        over = k >= low
-        k = np.where(over, k - low, k)
-        word = np.where(over, word >> np.uint64(width), word)
-        at = np.where(over, at + np.uint64(width), at)
-    return at.astype(np.int64)
+_L8, _H8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_M1, _M2, _M4 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: Position of the k-th (from 0) set bit of each byte; 8 where there are fewer.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64).ravel()
+
+
+def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position of the k-th (from 0) set bit of each word: byte sums, then a table for the byte."""
+    s = word - ((word >> np.uint64(1)) & _M1)
+    s = (s & _M2) + ((s >> np.uint64(2)) & _M2)
+    s = ((s + (s >> np.uint64(4))) & _M4) * _L8  # each byte: set bits up to its end
+    k = k.astype(np.uint64)
+    byte = np.bitwise_count(((k * _L8 | _H8) - s) & _H8).astype(np.uint64) << np.uint64(3)
+    inside = k - ((s << np.uint64(8)) >> byte & np.uint64(255))
+    return byte.astype(np.int64) + _IN_BYTE[((word >> byte & np.uint64(255)) << np.uint64(3) | inside).astype(np.int64)]
+
+
+def _low_ones(word: np.ndarray) -> np.ndarray:
+    """How many of each word's lowest bits are set without a gap."""
+    return np.where(word == ~np.uint64(0), 64, np.bitwise_count((word ^ (word + np.uint64(1))) >> np.uint64(1)).astype(np.int64))
 
 
 class EliasFano:
@@ -67,16 +76,49 @@ class EliasFano:
         total = int(self.zeros[-1])
         word = np.searchsorted(self.zeros, np.minimum(k, total - 1).astype(self.zeros.dtype), "right") - 1
         inside = np.minimum(k, total - 1) - self.zeros[word].astype(np.int64)
-        return word * 64 + _ones_before(~self.highs[word], inside)
+        return word * 64 + _select(~self.highs[word], inside)
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at positions."""
+    def _one(self, k: np.ndarray) -> np.ndarray:
+        """Bit position of the k-th one (from 0)."""
         if self._ones is None:
             self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(self._ones, i, "right") - 1
-        at = word * 64 + _ones_before(self.highs[word], i - self._ones[word])
+        word = np.searchsorted(self._ones, k, "right") - 1
+        return word * 64 + _select(self.highs[word], k - self._ones[word])
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values at positions."""
+        at = self._one(i)
         return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def _next_one(self, at: np.ndarray) -> np.ndarray:
+        """Position of the first set bit after a position, where there is one."""
+        word = (at >> 6).copy()
+        bits = self.highs[word] & (~np.uint64(1) << (at & 63).astype(np.uint64))
+        empty = np.flatnonzero(bits == 0)
+        while len(empty):
+            word[empty] += 1
+            bits[empty] = self.highs[word[empty]]
+            empty = empty[bits[empty] == 0]
+        return word * 64 + np.bitwise_count((bits & (np.uint64(0) - bits)) - np.uint64(1)).astype(np.int64)
+
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """How many bits from a position on are set without a gap."""
+        bit = (at & 63).astype(np.uint64)
+        run = _low_ones(self.highs[at >> 6] >> bit)
+        full = np.flatnonzero(run == 64 - bit.astype(np.int64))
+        while len(full):  # to the end of its word, and on
+            add = _low_ones(self.highs[(at[full] + run[full]) >> 6])
+            run[full] += add
+            full = full[add == 64]
+        return run
+
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions and at those after them."""
+        at = self._one(i)
+        after = self._next_one(at)
+        high = np.uint64(self.low_bits)
+        return ((at - i).astype(np.uint64) << high) | self._low(i), ((after - i - 1).astype(np.uint64) << high) | self._low(i + 1)
+
     def all(self) -> np.ndarray:
         bits = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.highs).view(np.uint8), bitorder="little"))[: self.n]
         places = np.arange(self.n, dtype=np.int64)
@@ -90,10 +132,11 @@ class EliasFano:
         high = (targets >> np.uint64(self.low_bits)).astype(np.int64)
         low = targets & np.uint64((1 << self.low_bits) - 1)
         total = int(self.zeros[-1])
-        lo = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1 - high, 0)
-        hi = self._zero(high) - high
+        # The ones of a bucket lie between the zeros before and after it.
+        start = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
         beyond = high >= total
-        lo, hi = np.where(beyond, self.n, lo), np.where(beyond, self.n, np.minimum(hi, self.n))
+        lo = np.where(beyond, self.n, start - high)
+        hi = np.where(beyond, self.n, np.minimum(start - high + self._ones_from(np.where(beyond, 0, start)), self.n))
         if begin is not None:
             lo, hi = np.maximum(lo, begin), np.minimum(hi, end)
         stop = hi.copy()

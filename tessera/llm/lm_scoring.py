@@ -29,20 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_bytes, drop_clashing, hash_spans, mix, new_folder, opened, published, stage, text_slices, word_spans
+from tessera.llm.common import arrow_bytes, caches, drop_clashing, hash_spans, mix, new_folder, opened, published, stage, text_slices, word_spans, working
 from tessera.llm.elias_fano import EliasFano
 
 ORDER, DISCOUNT, SHARD_BYTES, LEAST_SHARDS = 3, 0.75, 24 << 20, 16
+#: Bytes of text of a vectorised step of scoring, where every shard costs some calls, whatever is found there, and of counting.
+SLICE, COUNTED = 4 << 20, 2 << 20
 #: Shards to which a task sends by itself.
 FAN = 256
-#: Steps of the 16-bit logarithms, and n-grams that a counting task holds before it sends them.
-STEPS, HELD = 4096, 2_000_000
+#: Steps of the 16-bit logarithms, n-grams that a counting task holds before it sends them, and that a building one adds up at once.
+STEPS, HELD, MERGED = 4096, 1_500_000, 500_000
 ADDED = 0.1
 END = mix(np.array([0x454E44], np.uint64))[0]
 _EF = ("meta", "lows", "highs", "zeros")
 #: Files that a worker keeps open, and bytes of those that cannot be mapped.
 OPEN_FILES, HELD_BYTES = 4096, 256 << 20
 _open: OrderedDict[str, dict | None] = OrderedDict()
+caches("lm", _open.clear)
 
 
 @dataclass(frozen=True)
@@ -195,84 +198,123 @@ def _children(trie: Trie, level: int, shard: np.ndarray, parent: np.ndarray, wor
         fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])  # equal queries are made once
         group = np.cumsum(fresh) - 1
         p, w = p[fresh], w[fresh]
+        # A context is looked up once, whatever follows it.
+        heads = np.concatenate([[True], p[1:] != p[:-1]])
+        top = p[heads]
         if level == 2:
-            p = own["contexts"].find(p.astype(np.uint64))
-        live = np.flatnonzero(p >= 0)
-        begin, end = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        begin[live], end[live] = own["pointers"].get(p[live]).astype(np.int64), own["pointers"].get(p[live] + 1).astype(np.int64)
+            top = own["contexts"].find(top.astype(np.uint64))
+        live = np.flatnonzero(top >= 0)
+        begin, end = np.zeros(len(top), np.int64), np.zeros(len(top), np.int64)
+        begin[live], end[live] = (x.astype(np.int64) for x in own["pointers"].spans(top[live]))
+        of = np.cumsum(heads) - 1
+        back = None if level == 2 else np.where(begin < end, 10.0 ** (own["backoffs"][np.maximum(top, 0)] / -float(STEPS)), 1.0)[of]
+        p, begin, end = top[of], begin[of], end[of]
         found = np.full(len(p), -1, np.int64)
         live = np.flatnonzero((begin < end) & (w >= 0))
         found[live] = own["keys"].find(p[live].astype(np.uint64) * np.uint64(vocabulary) + w[live].astype(np.uint64), begin[live], end[live])
         at[rows] = found[group]
         rel[rows] = np.where(found >= 0, 10.0 ** (own["frequencies"][np.maximum(found, 0)] / -float(STEPS)), 0.0)[group]
-        if level > 2:
-            weight[rows] = np.where(begin < end, 10.0 ** (own["backoffs"][np.maximum(p, 0)] / -float(STEPS)), 1.0)[group]
+        if back is not None:
+            weight[rows] = back[group]
     return at, rel, weight
 
 
-def _ngram_keys(trie: Trie, order: int, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, key) of every n-gram of `order` words within a text, 2 at least; the levels below are complete.
+def _ngram_keys(trie: Trie, order: int, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, key, last) of every n-gram of `order` words within a text, 2 at least; all levels below the one above are looked at.
 
-    On level 2 a key is the words' ids; on the others the parent's place and the word's id.
+    The key is the place of the n-gram's first words, but for two, times the vocabulary plus the last word's id but one; last is the last word's id.
+    On level 2 the key is that of both words and last is 0.
     """
     ids, counts, _ = look_up(trie, hashes)
     shard = _pair_shards(trie, hashes, counts)
     position = ids
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for k in range(2, order + 1):
+    for k in range(2, order - 1):
         n = max(0, len(hashes) - k + 1)
-        parent = np.where(text[:n] == text[k - 1 :], position[:n], -1)
-        if k < order:
-            position = _children(trie, k, shard[:n], parent, ids[k - 1 :])[0]
-    fine = parent >= 0
-    return shard[:n][fine], parent[fine].astype(np.uint64) * np.uint64(trie.vocabulary) + ids[order - 1 :][fine].astype(np.uint64)
+        position = _children(trie, k, shard[:n], np.where(text[:n] == text[k - 1 :], position[:n], -1), ids[k - 1 :])[0]
+    n = max(0, len(hashes) - order + 1)
+    fine = np.flatnonzero((text[:n] == text[order - 1 :]) & (position[:n] >= 0))
+    beside = max(1, order - 2)
+    keys = position[fine].astype(np.uint64) * np.uint64(trie.vocabulary) + ids[fine + beside].astype(np.uint64)
+    return shard[fine], keys, ids[fine + order - 1] if order > 2 else np.zeros(len(fine), np.int64)
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[begins], np.add.reduceat(counts, begins) if len(keys) else counts
+def _in_order(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Order by key, then last."""
+    order = np.argsort(keys)
+    if not last.any():
+        return order
+    sorted_keys = keys[order]
+    rank = np.cumsum(np.concatenate([[0], sorted_keys[1:] != sorted_keys[:-1]]) if len(keys) else np.zeros(0, np.int64))
+    rank <<= 32
+    rank |= last[order]
+    return order[np.argsort(rank)]  # a vocabulary has fewer than 2 ** 32 words
 
 
-def _packed(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+def _added(keys: np.ndarray, last: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = _in_order(keys, last)
+    keys, last = keys[order], last[order]
+    begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (last[1:] != last[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begins], last[begins], np.add.reduceat(counts[order], begins, dtype=np.int64) if len(keys) else counts
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Compressed whole numbers, in four bytes each if they fit."""
+    wide = len(values) and int(values.max()) >= 1 << 32
+    return (b"8" if wide else b"4") + zlib.compress(values.astype("<u8" if wide else "<u4").tobytes(), 1)
+
+
+def _widened(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), "<u8" if data[:1] == b"8" else "<u4").astype(kind)
+
+
+def _packed(shard: int, keys: np.ndarray, last: np.ndarray, counts: np.ndarray) -> dict:
+    """A row of partial counts; keys do not fall, and several may be equal."""
     coded = EliasFano.encode(keys, int(keys[-1]) + 1)
-    return {"shard": shard, "meta": coded["meta"].tobytes(), "lows": coded["lows"].tobytes(), "highs": coded["highs"].tobytes(), "counts": zlib.compress(counts.astype("<u4").tobytes() if counts.max() < 1 << 32 else counts.astype("<u8").tobytes(), 1), "wide": bool(counts.max() >= 1 << 32)}
+    return {"shard": shard, **{k: coded[k].tobytes() for k in ("meta", "lows", "highs")}, "last": _narrow(last), "counts": _narrow(counts)}
 
 
-_PARTIAL = "shard int, meta binary, lows binary, highs binary, counts binary, wide boolean"
-_PARTIAL_ARROW = pa.schema([("shard", pa.int32()), ("meta", pa.binary()), ("lows", pa.binary()), ("highs", pa.binary()), ("counts", pa.binary()), ("wide", pa.bool_())])
-_BUNDLE = "bucket int, part int, shards binary, keys binary, counts binary"
-_BUNDLE_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("shards", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+_PARTIAL = "shard int, meta binary, lows binary, highs binary, last binary, counts binary"
+_PARTIAL_ARROW = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("meta", "lows", "highs", "last", "counts")]])
+_BUNDLE = "bucket int, part int, shards binary, keys binary, last binary, counts binary"
+_BUNDLE_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("shards", "keys", "last", "counts")]])
 
 
 class _Held:
-    """Counts by (shard, key) until they are sent."""
+    """Counts by (shard, key, last) until they are sent."""
 
     def __init__(self):
         self.pieces, self.size = [], 0
 
-    def add(self, shard: np.ndarray, key: np.ndarray, count: np.ndarray | None = None) -> None:
-        order = np.lexsort((key, shard))
-        shard, key = shard[order], key[order]
-        fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(fresh, len(key))) if count is None else np.add.reduceat(count[order], fresh) if len(key) else count
-        self.pieces.append((shard[fresh], key[fresh], count))
+    def add(self, shard: np.ndarray, key: np.ndarray, last: np.ndarray, count: np.ndarray | None = None) -> None:
+        """Equal n-grams are brought together by a hash of them; two that share one by chance may stay apart until they meet in their shard."""
+        if not len(key):
+            return
+        order = np.argsort(mix(key ^ mix(last.astype(np.uint64) + np.uint64(1))))
+        shard, key, last = shard[order], key[order], last[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (last[1:] != last[:-1]) | (shard[1:] != shard[:-1])]))
+        count = np.diff(np.append(fresh, len(key))) if count is None else np.add.reduceat(count[order], fresh)
+        self.pieces.append((shard[fresh], key[fresh], last[fresh], count))
         self.size += len(fresh)
 
-    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All sorted and added up; nothing stays."""
+    def taken(self) -> tuple[np.ndarray, ...]:
+        """All by shard and key, and added up; nothing stays."""
         whole = _Held()
         if self.pieces:
             whole.add(*(np.concatenate(x) for x in zip(*self.pieces, strict=True)))
         self.pieces, self.size = [], 0
-        return whole.pieces[0] if whole.pieces else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if not whole.pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(whole.pieces[0][1])
+        shard = whole.pieces[0][0][order]
+        order = order[np.argsort(shard.astype(np.uint16) if int(shard.max()) < 1 << 16 else shard, kind="stable")]
+        return tuple(x[order] for x in whole.pieces[0])
 
 
 def _by_shards(held: _Held):
-    shard, key, count = held.taken()
+    shard, *rest = held.taken()
     for s, part in _by_shard(shard):
-        yield pa.RecordBatch.from_pylist([_packed(s, key[part], count[part])], schema=_PARTIAL_ARROW)
+        yield pa.RecordBatch.from_pylist([_packed(s, *[x[part] for x in rest])], schema=_PARTIAL_ARROW)
 
 
 def _partial_counts(texts: DataFrame, trie: Trie | None, order: int, shards: int) -> DataFrame:
@@ -281,20 +323,22 @@ def _partial_counts(texts: DataFrame, trie: Trie | None, order: int, shards: int
     every = max(1, shards // FAN)
 
     def bundles(held: _Held):
-        shard, key, count = held.taken()
+        shard, key, last, count = held.taken()
         part = int.from_bytes(uuid.uuid4().bytes[:4], "little") % every
         for bucket, at in _by_shard(shard // every):
-            row = {"bucket": bucket, "part": part, "shards": zlib.compress(shard[at].astype("<u4"), 1), "keys": zlib.compress(np.diff(key[at], prepend=np.uint64(0)), 1), "counts": zlib.compress(count[at].astype("<u8"), 1)}
+            keys = zlib.compress(np.diff(key[at], prepend=np.uint64(0)), 1)
+            row = {"bucket": bucket, "part": part, "shards": _narrow(shard[at]), "keys": keys, "last": _narrow(last[at]), "counts": _narrow(count[at])}
             yield pa.RecordBatch.from_pylist([row], schema=_BUNDLE_ARROW)
 
     def run(batches):
+        working("lm")
         held = _Held()
         for whole in batches:
-            for batch in text_slices(whole, 0):
+            for batch in text_slices(whole, 0, COUNTED):
                 hashes, first = tokens(batch.column(0))
                 if trie is None:
                     owner = (hashes >> np.uint64(shift)).astype(np.int64) if shards > 1 else np.zeros(len(hashes), np.int64)
-                    held.add(owner, hashes - (owner.astype(np.uint64) << np.uint64(shift)) if shards > 1 else hashes)
+                    held.add(owner, hashes - (owner.astype(np.uint64) << np.uint64(shift)) if shards > 1 else hashes, np.zeros(len(hashes), np.int64))
                 else:
                     held.add(*_ngram_keys(trie, order, hashes, first))
                 if held.size > HELD:
@@ -313,7 +357,7 @@ def _partial_counts(texts: DataFrame, trie: Trie | None, order: int, shards: int
                     yield from _by_shards(held)
                 at = row["bucket"], row["part"]
                 keys = np.cumsum(np.frombuffer(zlib.decompress(row["keys"]), "<u8"), dtype=np.uint64)
-                held.add(np.frombuffer(zlib.decompress(row["shards"]), "<u4").astype(np.int64), keys, np.frombuffer(zlib.decompress(row["counts"]), "<u8").astype(np.int64))
+                held.add(_widened(row["shards"]), keys, _widened(row["last"]), _widened(row["counts"]))
         if held.size:
             yield from _by_shards(held)
 
@@ -333,12 +377,23 @@ def _built(partial: DataFrame, trie: Trie, level: int) -> DataFrame:
     """Adds up each shard's counts and writes its file; (shard, entries, total), and of level 2 also (word, kinds): successors in the shard."""
     vocabulary, shards = trie.vocabulary, len(trie.words)
 
-    def written(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]):
-        keys, counts = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    def written(shard: int, keys: np.ndarray, last: np.ndarray, counts: np.ndarray):
         tops, kinds = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if level == 1:
             arrays = _coded("keys", keys, int(keys[-1]) + 1) | {"counts": counts.astype(np.int64)}
         else:
+            if level > 2:  # the contexts' places, and from them the keys
+                fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+                above, word = keys[fresh] // np.uint64(vocabulary), keys[fresh] % np.uint64(vocabulary)
+                steps = range(0, len(above), MERGED)
+                places = np.concatenate([_children(trie, level - 1, np.full(len(a), shard), a, w)[0] for a, w in ((x[lo : lo + MERGED].astype(np.int64) for x in (above, word)) for lo in steps)])
+                if (places < 0).any():
+                    raise RuntimeError(f"shard {shard} of level {level - 1} lacks contexts of level {level}")
+                keys = places[np.cumsum(fresh) - 1].astype(np.uint64) * np.uint64(vocabulary) + last
+                del above, word, places, fresh, last
+                order = np.argsort(keys)
+                keys, counts = keys[order], counts[order]
+                del order
             parents = (keys // np.uint64(vocabulary)).astype(np.int64)
             if level == 2:  # all that follows a word in training is counted with the word itself
                 tops, parents = np.unique(parents, return_inverse=True)
@@ -362,19 +417,32 @@ def _built(partial: DataFrame, trie: Trie, level: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"shard": one.cast(pa.int32()), "entries": one, "total": one, "word": pa.array(tops), "kinds": pa.array(kinds.astype(np.int64))})
 
     def run(batches):
-        shard, parts = None, []
+        working("lm")
+        shard, parts, fresh = None, [], 0
+
+        def folded():
+            """All parts as one."""
+            nonlocal fresh
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts.clear()
+            parts.append(_added(*columns))
+            fresh = 0
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if parts and row["shard"] != shard:
-                    yield from written(shard, parts)
-                    parts = []
+                    folded()
+                    yield from written(shard, *parts.pop())
                 shard = row["shard"]
                 coded = EliasFano({"meta": np.frombuffer(row["meta"], np.int64), "lows": np.frombuffer(row["lows"], np.uint64), "highs": np.frombuffer(row["highs"], np.uint64), "zeros": np.zeros(1, np.uint32)})
-                parts.append((coded.all(), np.frombuffer(zlib.decompress(row["counts"]), "<u8" if row["wide"] else "<u4").astype(np.int64)))
-                if len(parts) > 64:
-                    parts = [_added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+                parts.append((coded.all(), _widened(row["last"], np.uint32), _widened(row["counts"], np.uint32 if row["counts"][:1] == b"4" else np.int64)))
+                fresh += coded.n
+                if fresh > max(MERGED, len(parts[0][0]) // 2):  # half as many again as there are
+                    folded()
         if parts:
-            yield from written(shard, parts)
+            folded()
+            yield from written(shard, *parts.pop())
 
     return stage(partial.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, entries long, total long, word long, kinds long"), "trie")
 
@@ -467,9 +535,10 @@ def score(df: DataFrame, trie: Trie, text: str = "text", keep: list[str] | None
     names = [*keep, *outputs]
 
     def run(batches):
+        working("lm")
         own = shared.value
         for whole in batches:
-            for batch in text_slices(whole, len(keep)):
+            for batch in text_slices(whole, len(keep), SLICE):
                 n, known, base, full = scores(own, batch.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), own.tokens)), pa.array(base), pa.array(full)], names=names)
 

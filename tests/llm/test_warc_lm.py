@@ -59,13 +59,16 @@ def test_warc_edges(spark):
         list(warc.parsed(io.BytesIO(zlib.compress(warc._head("response", 1, None, "00" * 20, 5, None, 100) + warc._HTTP, wbits=31)), 10))
 
 
-@pytest.mark.parametrize("n,bound", [(0, 1), (1, 5), (5, 10), (1000, 1 << 20), (1000, 500), (5000, 1 << 60), (3000, 1 << 30)])
+@pytest.mark.parametrize("n,bound", [(0, 1), (1, 5), (5, 10), (1000, 1 << 20), (1000, 500), (5000, 1 << 60), (3000, 1 << 30), (4000, 20), (4000, 3)])
 def test_elias_fano(n, bound):
     r = np.random.default_rng(n)
     values = np.sort(r.integers(0, bound, n).astype(np.uint64))
     own = EliasFano(EliasFano.encode(values, bound))
     assert (own.all() == values).all()
     assert n == 0 or (own.get(np.arange(n)) == values).all()
+    if n > 1:
+        one, two = own.spans(np.arange(n - 1))
+        assert (one == values[:-1]).all() and (two == values[1:]).all()
     some = np.unique(values)
     own = EliasFano(EliasFano.encode(some, bound))
     asked = np.concatenate([some, r.integers(0, 2 * bound, 400).astype(np.uint64)])
@@ -73,7 +76,18 @@ def test_elias_fano(n, bound):
     assert own.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("crowd", [1, 63, 64, 65, 127, 128, 129, 1000])
+def test_elias_fano_of_crowded_buckets(crowd):
+    """Many values share their high bits, so that runs of ones fill whole words."""
+    for ahead in (0, 1, 5, 63, 64):
+        values = np.concatenate([np.arange(ahead) << 40, (ahead << 40) + 3 * np.arange(crowd), [1 << 50, (1 << 50) + 7]]).astype(np.uint64)
+        own = EliasFano(EliasFano.encode(values, 1 << 51))
+        assert own.find(values).tolist() == list(range(len(values))) and (own.find(values + np.uint64(1)) == -1).all()
+        begin, end = np.arange(len(values)), np.arange(len(values)) + 1
+        assert own.find(values, begin, end).tolist() == begin.tolist() and (own.find(values[:-1], begin[1:], end[1:]) == -1).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_by_brute_force(spark, order):
     docs = fixtures.frame(spark)
     rows = [(r[0], r[1]) for r in fixtures.rows()] + [(1000 + i, fixtures.prose(i % 7, 30 + i)) for i in range(60)] + [(2000, "never seen words"), (2001, "ALPHAbeta alphaBETA")]
@@ -110,6 +124,36 @@ def test_scores_by_brute_force(spark, order):
         assert g.score == pytest.approx(full, abs=2e-4 * g.n_tokens)  # half a step of the 16-bit logarithms a factor
 
 
+def test_query_by_brute_force(spark):
+    """Every document of a small table under all training documents' counts."""
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in queries.documents(spark, sf).collect()}
+    train = [w for k, w in texts.items() if zlib.crc32(str(k).encode()) % 10]
+    count = [collections.Counter(tuple(w[i : i + k]) for w in train for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    total, kinds = collections.Counter(), collections.Counter()
+    for k in (1, 2):
+        for gram, n in count[k].items():
+            total[gram[:-1]] += n
+            kinds[gram[:-1]] += 1
+    n, v = sum(count[0].values()), len(count[0])
+    got = queries.op10_lm_scoring(spark, sf).collect()
+    assert len(got) == len(texts)
+    for g in got:
+        w, base, full = texts[g.doc_id], 0.0, 0.0
+        for j in range(len(w)):
+            p = (count[0][(w[j],)] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            for c in (tuple(w[j - 1 : j]), tuple(w[j - 2 : j])) if j > 1 else (tuple(w[:1]),) if j else ():
+                if total[c]:
+                    p = max(count[len(c)][(*c, w[j])] - lm_scoring.DISCOUNT, 0) / total[c] + lm_scoring.DISCOUNT * kinds[c] / total[c] * p
+            full += math.log10(p)
+        assert (g.n_tokens, g.train_tokens, g.n_known) == (len(w), n, sum(count[0][(x,)] > 0 for x in w))
+        assert g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 10 == 0)
+        assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(full, abs=3e-4 * g.n_tokens)
+
+
 def test_frequent_words_are_spread_and_bundles_merged(spark, monkeypatch):
     """Scores do not depend on the number of shards, on how their rows travel, or on a word that makes up half of the corpus."""
     texts = [" ".join(w for x in fixtures.prose(i, 60).split() for w in ("the", x)) for i in range(40)] + ["the the the", "", None, "The"]
