@@ -38,7 +38,7 @@ SLICE, COUNTED = 4 << 20, 2 << 20
 #: Shards to which a task sends by itself.
 FAN = 256
 #: Steps of the 16-bit logarithms, n-grams that a counting task holds before it sends them, and that a building one adds up at once.
-STEPS, HELD, MERGED = 4096, 1_500_000, 500_000
+STEPS, HELD, MERGED = 4096, 1_000_000, 500_000
 ADDED = 0.1
 END = mix(np.array([0x454E44], np.uint64))[0]
 _EF = ("meta", "lows", "highs", "zeros")
@@ -156,8 +156,7 @@ def look_up(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             at = level["keys"].find(some[part] - np.uint64(shard << trie.shift if len(trie.words) > 1 else 0))
             ids[part] = np.where(at >= 0, at + base[shard], -1)
             counts[part] = np.where(at >= 0, level["counts"][np.maximum(at, 0)], 0)
-            if trie.order > 1:
-                more = _level(trie.file("weights", shard))
+            if trie.order > 1 and (more := _level(trie.file("weights", shard))) is not None:  # none where nothing follows a shard's words
                 weights[part] = np.where(at >= 0, 10.0 ** (more["backoffs"][np.maximum(at, 0)] / -float(STEPS)), 1.0)
     return ids[back], counts[back], weights[back]
 
@@ -291,18 +290,21 @@ class _Held:
         if not len(key):
             return
         order = np.argsort(mix(key ^ mix(last.astype(np.uint64) + np.uint64(1))))
-        shard, key, last = shard[order], key[order], last[order]
+        shard, key, last = shard.astype(np.uint32)[order], key[order], last.astype(np.uint32)[order]
         fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (last[1:] != last[:-1]) | (shard[1:] != shard[:-1])]))
-        count = np.diff(np.append(fresh, len(key))) if count is None else np.add.reduceat(count[order], fresh)
-        self.pieces.append((shard[fresh], key[fresh], last[fresh], count))
+        count = np.diff(np.append(fresh, len(key))) if count is None else np.add.reduceat(count[order], fresh, dtype=np.int64)
+        del order
+        self.pieces.append((shard[fresh], key[fresh], last[fresh], count.astype(np.uint32) if int(count.max()) < 1 << 32 else count))
         self.size += len(fresh)
 
     def taken(self) -> tuple[np.ndarray, ...]:
         """All by shard and key, and added up; nothing stays."""
         whole = _Held()
-        if self.pieces:
-            whole.add(*(np.concatenate(x) for x in zip(*self.pieces, strict=True)))
+        columns = [np.concatenate(x) for x in zip(*self.pieces, strict=True)]
         self.pieces, self.size = [], 0
+        if columns:
+            whole.add(*columns)
+            del columns
         if not whole.pieces:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         order = np.argsort(whole.pieces[0][1])
@@ -476,9 +478,7 @@ def _weighted(trie: Trie, kinds: DataFrame) -> None:
         if shard is not None:
             yield written()
 
-    # A word without successors, as the end of texts, has a row too, so that every shard with words has a file.
-    alone = kinds.sparkSession.createDataFrame([(int(base[s]), 0) for s, n in enumerate(trie.words) if n], "word long, kinds long")
-    rows = sums.unionByName(alone).groupBy("word").agg(F.sum("kinds").alias("kinds")).mapInArrow(located, "shard int, word long, kinds long")
+    rows = sums.mapInArrow(located, "shard int, word long, kinds long")
     stage(rows.repartition(len(trie.words), "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int"), "weights")
 
 
