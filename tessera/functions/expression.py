@@ -145,8 +145,8 @@ class Strings:
 
     def tokens(self) -> Expression:
         """White-space separated words as an array."""
-        plain = F.translate(self.column, "\t\n\x0b\f\r", "     ")  # then one character splits, without a regular expression
-        return Expression(F.filter(F.split(plain, " "), lambda w: w != ""))
+        inner = F.btrim(self.column, F.lit(" \t\n\x0b\f\r"))  # without blanks at its ends a text splits into no empty words
+        return Expression(F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"\s+")))
 
 
 _UNITS = {"ms": "milliseconds", "s": "seconds", "m": "minutes", "h": "hours", "d": "days", "M": "months", "y": "years"}

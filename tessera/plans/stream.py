@@ -200,6 +200,14 @@ class Stream:
 
     # Whole tables
 
+    def spread(self) -> Stream:
+        """The same rows, dealt out evenly if there are fewer parts than cores: for small tables that are dear to work on.
+
+        Larger tables stay as they are.  Meant right after reading: parts of a stream with shuffles are not known before it runs.
+        """
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        return self._new(self.df.repartition(cores)) if self.df.rdd.getNumPartitions() < cores else self
+
     def union(self, other: Stream) -> Stream:
         """All rows of both; the columns must be the same."""
         if set(self.schema) != set(other.schema):

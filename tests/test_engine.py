@@ -250,6 +250,12 @@ def test_joins_on_conditions(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_words_of_texts(spark):
+    s = make(spark, [(" a\tb  a\n",), ("",), (" \x0b\f\r ",), (None,), ("é x",)], "t string").spread()
+    assert s.df.rdd.getNumPartitions() >= 4
+    assert got(s.with_columns({"w": lambda x: x["t"].str.tokens()}).select(["w"])) == sorted([(["a", "b", "a"],), ([],), ([],), (None,), (["é", "x"],)], key=repr)
+
+
 def test_set_operations_with_repeats(spark):
     a, b = make(spark, [(1,), (1,), (1,), (2,)], "k int"), make(spark, [(1,), (1,), (3,)], "k int")
     assert got(a.intersect_all(b)) == [(1,), (1,)] and got(a.except_all(b)) == [(1,), (2,)]
