@@ -520,3 +520,28 @@ def test_matrix_product_and_pagerank_take_all_ids(spark, tmp_path):
         rank = {n: 0.15 / len(nodes) + 0.85 * (got[n] + lost / len(nodes)) for n in nodes}
     out = {x.node: x["rank"] for x in queries.QUERIES["pagerank"](spark, str(tmp_path)).collect()}
     assert out == pytest.approx(rank)
+
+
+@pytest.mark.parametrize("tile, step", [(1 << 24, 1 << 20), (40, 7)])
+def test_matrix_product_by_tiles(spark, monkeypatch, tile, step):
+    from tessera.operators import algebra
+
+    monkeypatch.setattr(algebra, "TILE_PRODUCTS", tile)
+    monkeypatch.setattr(algebra, "STEP_PRODUCTS", step)
+    r = random.Random(3)
+    cells = lambda: [(r.choice([None, *range(30)]), r.choice([None, 0, 1, 2]), r.choice([None, 1.0, -1.0, 2.5])) for _ in range(150)]
+    left, right = cells(), [(k, None if j is None else f"c{j}", v) for j, k, v in cells()]
+    want: dict = {}
+    for i, k, x in left:
+        for _, j, y in (row for row in right if k is not None and row[0] == k):
+            want.setdefault((i, j), []).append(None if x is None or y is None else x * y)
+    want = {c: None if all(v is None for v in vs) else sum(v for v in vs if v is not None) for c, vs in want.items()}
+    out = algebra.matmul(spark.createDataFrame(left, "i long, j int, v double"), spark.createDataFrame(right, "i long, j string, v double"))
+    rows = out.collect()
+    assert {(x.i, x.j): x.v for x in rows} == want and len(rows) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan  # products are not moved
+    whole = spark.createDataFrame([(1, 1, 3), (1, 2, 4)], "i long, j long, v long")
+    assert got(Stream(algebra.matmul(whole, whole.selectExpr("j AS i", "i AS j", "v")))) == [(1, 1, 25)]
+    apart = spark.createDataFrame([(1, 1, 3.0), (1, 2, 4.0), (2, 3, 5.0)], "i long, j long, v double")
+    assert got(Stream(algebra.matmul(apart, spark.createDataFrame([(1, 9, 2.0), (7, 9, 1.0)], "i long, j long, v double")))) == [(1, 9, 6.0)]
