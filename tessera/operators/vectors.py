@@ -1,7 +1,8 @@
 """Nearest-neighbour joins on columns of float arrays, by exact cosine.
 
 The stream is scanned once, whatever the number of probes.  Probes that fit into one block go to every task at once; more are written to
-the shared folder as blocks, which a task takes one after the other for each stretch of its rows.
+the shared folder as blocks, which a task takes one after the other for each stretch of its rows.  Matrix products find candidates, which are then
+weighed one by one, so that copies are equal wherever they stand.
 """
 
 from __future__ import annotations
@@ -17,15 +18,23 @@ from pyspark.sql import types as T
 
 from tessera.storage import listed, settle
 
-#: Rows and bytes of a block of probes; bytes of vectors of a stretch of the stream.
-BLOCK_ROWS, BLOCK_BYTES, STRETCH_BYTES = 8192, 64 << 20, 32 << 20
+#: Rows and bytes of a block of probes; bytes of vectors of a stretch of the stream, and of similarities and of pairs looked at together.
+BLOCK_ROWS, BLOCK_BYTES, STRETCH_BYTES, SCORE_BYTES = 8192, 64 << 20, 32 << 20, 16 << 20
+#: Most answers kept at once.
+ANSWERS = 1 << 20
+#: More than a matrix product differs from the similarity summed for the pair alone.
+SLACK = 1e-9
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(1, keepdims=True, initial=0)
-    x = np.divide(x, top, out=np.zeros_like(x), where=top > 0)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    """Unit vectors of the rows, in place; zero stays zero."""
+    for lo in range(0, len(x), 4096):
+        part = x[lo : lo + 4096]
+        top = np.abs(part).max(1, keepdims=True, initial=0)
+        part /= np.where(top > 0, top, 1.0)
+        norm = np.linalg.norm(part, axis=1, keepdims=True)
+        part /= np.where(norm > 0, norm, 1.0)
+    return x
 
 
 def _usable(column: pa.Array, dim: int | None, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +56,23 @@ def _comparable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(c.isNotNull() & (F.size(c) > 0))
 
 
-def _blocks(probes: DataFrame, vector: str) -> tuple[int, Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    """The probes' dimension, and what gives a task their blocks (numbers, unit vectors).  probes have a number as __probe."""
-    spark, few = probes.sparkSession, _comparable(probes, vector).select("__probe", vector)
+#: Numbers, unit vectors and, a row a probe, the lists looked at.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def _blocks(probes: DataFrame, vector: str) -> tuple[int, Callable[[], Iterator[Block]]]:
+    """The probes' dimension, and what gives a task their blocks.  probes have a number as __probe and may have lists of equal length as __lists."""
+    spark, few = probes.sparkSession, _comparable(probes, vector).select("__probe", vector, *[c for c in probes.columns if c == "__lists"])
     n, least, dim = few.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
     if not n:
         return 0, lambda: iter(())
     if least != dim:
         raise ValueError(f"{vector} has vectors of {least} components beside such of {dim}")
 
-    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def read(table: pa.Table) -> Block:
         at, unit = _usable(table[vector], dim, vector)
-        return table["__probe"].to_numpy()[at], unit
+        lists = np.stack(table["__lists"].to_numpy()) if "__lists" in table.column_names and len(table) else None
+        return table["__probe"].to_numpy()[at], unit, None if lists is None else lists[at]
 
     parts = max(-(-n // BLOCK_ROWS), -(-n * dim * 8 // BLOCK_BYTES))
     if parts == 1:
@@ -66,7 +80,7 @@ def _blocks(probes: DataFrame, vector: str) -> tuple[int, Callable[[], Iterator[
         return dim, lambda: iter([shared.value])
     files = listed(spark, settle(few.repartition(parts), "probes").inputFiles()[0].rpartition("/")[0], ".parquet")
 
-    def opened() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def opened() -> Iterator[Block]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -77,52 +91,106 @@ def _blocks(probes: DataFrame, vector: str) -> tuple[int, Callable[[], Iterator[
     return dim, opened
 
 
-def _best(score: np.ndarray, k: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k highest along an axis, earlier ones first among equals."""
-    best = np.argsort(-score, axis=axis, kind="stable")
-    if axis == 0:
-        best = best[:k]
-        return best.ravel(), np.tile(np.arange(score.shape[1]), len(best))
-    best = best[:, :k]
-    return np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+def _similarities(a: np.ndarray, rows: np.ndarray, b: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Products of rows of a and b, each summed alone and in one order."""
+    out, step = np.empty(len(rows)), max(1, SCORE_BYTES // (16 * max(1, a.shape[1])))
+    for lo in range(0, len(rows), step):
+        out[lo : lo + step] = (a[rows[lo : lo + step]] * b[cols[lo : lo + step]]).sum(1)
+    return out
+
+
+class _Best:
+    """The k best answers of each asker so far, from high to low, lower places first among equals."""
+
+    def __init__(self, askers: int, k: int):
+        self.k, self.score, self.place = k, np.full((askers, k), -np.inf), np.full((askers, k), np.iinfo(np.int64).max)
+
+    def add(self, who: np.ndarray, asking: np.ndarray, places: np.ndarray, answers: np.ndarray) -> None:
+        """Compare askers `who` with the answers at `places`, a bounded part of the matrix at a time."""
+        tall = max(1, min(2048, ANSWERS // (8 * self.k)))
+        wide = max(1, SCORE_BYTES // (8 * min(tall, max(1, len(who)))))
+        for lo in range(0, len(places), wide):
+            for top in range(0, len(who), tall):
+                self._part(who[top : top + tall], asking[top : top + tall], places[lo : lo + wide], answers[lo : lo + wide])
+
+    def _part(self, who: np.ndarray, asking: np.ndarray, places: np.ndarray, answers: np.ndarray) -> None:
+        score, least = asking @ answers.T, self.score[who, -1]
+        if len(places) > self.k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        rows, cols = np.nonzero(score >= (least - SLACK)[:, None])
+        step = max(1, SCORE_BYTES // 64)
+        for lo in range(0, len(rows), step):
+            self._merge(who, asking, places, answers, rows[lo : lo + step], cols[lo : lo + step])
+
+    def _merge(self, who: np.ndarray, asking: np.ndarray, places: np.ndarray, answers: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        some, at = np.unique(rows, return_inverse=True)
+        mine = who[some]
+        at = np.concatenate([np.repeat(np.arange(len(some)), self.k), at])
+        score = np.concatenate([self.score[mine].ravel(), _similarities(asking, rows, answers, cols)])
+        place = np.concatenate([self.place[mine].ravel(), places[cols]])
+        order = np.lexsort((place, -score, at))
+        pick = order[np.searchsorted(at[order], np.arange(len(some)))[:, None] + np.arange(self.k)]
+        self.score[mine], self.place[mine] = score[pick], place[pick]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Askers, places and similarities."""
+        who, at = np.nonzero(self.score > -np.inf)
+        return who, self.place[who, at], self.score[who, at]
 
 
 def _found(stream: DataFrame, vector: str, dim: int, blocks, per_probe: bool, k: int, threshold: float | None) -> DataFrame:
-    """Stream rows with __probe and __similarity: all above the threshold, the k best probes of each row, or of each stretch the k best rows of each probe."""
-    at = stream.columns.index(vector)
-    schema = T.StructType([*stream.schema.fields, T.StructField("__probe", T.LongType()), T.StructField("__similarity", T.DoubleType())])
-
-    def picked(part: pa.RecordBatch, rows: np.ndarray, numbers: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, pa.array(numbers.astype(np.int64)), pa.array(score.astype(np.float64))], names=schema.names)
-
-    def compared(part: pa.RecordBatch):
-        there, mine = _usable(part.column(at), dim or None, vector)
-        if not len(there):
-            return
-        kept: list[tuple] = []  # the best probes of each row so far
-        for numbers, theirs in blocks():
-            if not len(numbers):
-                continue
-            for lo in range(0, len(mine), 2048):
-                score = mine[lo : lo + 2048] @ theirs.T
-                if threshold is not None:
-                    rows, cols = np.nonzero(score >= threshold)
-                else:
-                    rows, cols = _best(score, k, 0 if per_probe else 1)
-                hit = rows + lo, numbers[cols], score[rows, cols]
-                if threshold is None and not per_probe:
-                    kept.append(hit)
+    """Stream rows with __probe and __similarity: all above the threshold, the k best probes of each row, or of each stretch the k best rows of each probe.
+
+    Earlier rows and lower probes come first among equals.  Where the stream has a list as __list, probes meet the rows of their own lists.
+    """
+    columns = [c for c in stream.columns if c != "__list"]
+    at, listed_rows = stream.columns.index(vector), "__list" in stream.columns
+    schema = T.StructType([*[stream.schema[c] for c in columns], T.StructField("__probe", T.LongType()), T.StructField("__similarity", T.DoubleType())])
+    step = max(1, STRETCH_BYTES // (8 * max(1, dim)))
+
+    def picked(part: pa.RecordBatch, rows: np.ndarray, numbers: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = part.select(columns)
+        for lo in range(0, len(rows), step):
+            few = slice(lo, lo + step)
+            yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows[few])).columns, pa.array(numbers[few].astype(np.int64)), pa.array(score[few])], names=schema.names)
+
+    def nearest_rows(part: pa.RecordBatch, there: np.ndarray, mine: np.ndarray):
+        lists = part.column(part.schema.get_field_index("__list")).to_numpy()[there] if listed_rows else None
+        for numbers, theirs, looked_at in blocks():
+            few = max(1, ANSWERS // k)
+            for lo in range(0, len(numbers), few):
+                asking, best = theirs[lo : lo + few], _Best(len(theirs[lo : lo + few]), k)
+                if lists is None or looked_at is None:
+                    best.add(np.arange(len(asking)), asking, np.arange(len(mine)), mine)
                 else:
-                    yield picked(part, there[hit[0]], hit[1], hit[2])
-            if len(kept) * 2048 > 8 * len(mine) + 8192:
-                kept = [_merged(kept, k)]
-        if kept:
-            rows, numbers, score = _merged(kept, k)
-            yield picked(part, there[rows], numbers, score)
+                    for one in np.unique(lists):
+                        who, rows = np.flatnonzero((looked_at[lo : lo + few] == one).any(1)), np.flatnonzero(lists == one)
+                        best.add(who, asking[who], rows, mine[rows])
+                who, rows, score = best.found()
+                yield from picked(part, there[rows], numbers[lo + who], score)
+
+    def nearest_probes(part: pa.RecordBatch, there: np.ndarray, mine: np.ndarray):
+        few = max(1, ANSWERS // k)
+        for lo in range(0, len(mine), few):
+            asking, best = mine[lo : lo + few], _Best(len(mine[lo : lo + few]), k)
+            for numbers, theirs, _ in blocks():
+                best.add(np.arange(len(asking)), asking, numbers, theirs)
+            rows, numbers, score = best.found()
+            yield from picked(part, there[lo + rows], numbers, score)
+
+    def above(part: pa.RecordBatch, there: np.ndarray, mine: np.ndarray):
+        for numbers, theirs, _ in blocks():
+            few = max(1, SCORE_BYTES // (8 * max(1, len(numbers))))
+            for lo in range(0, len(mine), few):
+                score = mine[lo : lo + few] @ theirs.T
+                rows, cols = np.nonzero(score >= threshold)
+                yield from picked(part, there[rows + lo], numbers[cols], score[rows, cols])
 
     def stretches(held: list[pa.RecordBatch]):
         for part in pa.Table.from_batches(held).combine_chunks().to_batches():
-            yield from compared(part)
+            there, mine = _usable(part.column(at), dim or None, vector)
+            if len(there):
+                yield from (above if threshold is not None else nearest_rows if per_probe else nearest_probes)(part, there, mine)
 
     def run(batches):
         held, size = [], 0
@@ -138,30 +206,22 @@ def _found(stream: DataFrame, vector: str, dim: int, blocks, per_probe: bool, k:
     return stream.mapInArrow(run, schema)
 
 
-def _merged(kept: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row over several blocks."""
-    rows, numbers, score = (np.concatenate(x) for x in zip(*kept, strict=True))
-    order = np.lexsort((numbers, -score, rows))
-    rows, numbers, score = rows[order], numbers[order], score[order]
-    begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    good = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows)))) < k
-    return rows[good], numbers[good], score[good]
-
-
 def _joined(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, suffix: str, per_probe: bool, k: int, threshold: float | None) -> DataFrame:
-    names = {c: c + suffix if c in stream.columns else c for c in probes.columns}
-    columns = stream.columns
+    columns, shown = [c for c in stream.columns if c != "__list"], [c for c in probes.columns if c != "__lists"]
+    names = {c: c + suffix if c in columns else c for c in shown}
     # Numbers follow the probes' other columns, so that equal similarities rank alike in every run.
-    ties = [c for c in probes.columns if c != probe_vector]
+    ties = [c for c in shown if c != probe_vector]
     ranked = probes.orderBy(*[F.col(f"`{c}`") for c in ties]) if ties else probes
     numbered = settle(ranked.withColumn("__probe", F.monotonically_increasing_id()), "probes")
     dim, blocks = _blocks(numbered, probe_vector)
-    out = _found(_comparable(stream, vector), vector, dim, blocks, per_probe, k, threshold)
+    rows, order = _comparable(stream, vector), [F.col(f"`{c}`") for c in columns if c != vector]
+    if threshold is None and per_probe and order:
+        rows = rows.sortWithinPartitions(*order)
+    out = _found(rows, vector, dim, blocks, per_probe, k, threshold)
     if threshold is None and per_probe:
-        order = [F.col(f"`{c}`") for c in columns if c != vector]
         rank = F.row_number().over(Window.partitionBy("__probe").orderBy(F.desc("__similarity"), *order))
         out = out.withColumn("__rank", rank).where(F.col("__rank") <= k)
-    side = numbered.select("__probe", *[F.col(f"`{c}`").alias(names[c]) for c in probes.columns])
+    side = numbered.select("__probe", *[F.col(f"`{c}`").alias(names[c]) for c in shown])
     return out.join(side, "__probe").select(*columns, *names.values(), F.col("__similarity").alias("similarity"))
 
 
@@ -173,6 +233,11 @@ def nearest_to_probes(stream: DataFrame, probes: DataFrame, vector: str, probe_v
     return _joined(stream, probes, vector, probe_vector, suffix, True, k, None)
 
 
+def nearest_in_lists(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, k: int = 1, suffix: str = "_probe") -> DataFrame:
+    """As `nearest_to_probes`, among the stream rows whose number in __list is one of the probe's array __lists."""
+    return _joined(stream, probes, vector, probe_vector, suffix, True, k, None)
+
+
 def nearest_probes(stream: DataFrame, probes: DataFrame, vector: str, probe_vector: str, k: int = 1, suffix: str = "_probe") -> DataFrame:
     """For each stream row its k nearest probes; vectors as in `nearest_to_probes`."""
     return _joined(stream, probes, vector, probe_vector, suffix, False, k, None)

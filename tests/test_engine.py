@@ -545,3 +545,44 @@ def test_matrix_product_by_tiles(spark, monkeypatch, tile, step):
     assert got(Stream(algebra.matmul(whole, whole.selectExpr("j AS i", "i AS j", "v")))) == [(1, 1, 25)]
     apart = spark.createDataFrame([(1, 1, 3.0), (1, 2, 4.0), (2, 3, 5.0)], "i long, j long, v double")
     assert got(Stream(algebra.matmul(apart, spark.createDataFrame([(1, 9, 2.0), (7, 9, 1.0)], "i long, j long, v double")))) == [(1, 9, 6.0)]
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+def test_nearest_rows_and_probes_among_copies(spark, monkeypatch, block):
+    import numpy as np
+
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vectors, "SCORE_BYTES", 1 << 16)
+    x = np.random.default_rng(5).normal(size=(4100, 7))
+    x[500:3500] = x[700]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in reversed(list(enumerate(x)))], "id long, v array<double>").coalesce(1)
+    probes = rows.where("id % 50 = 0").selectExpr("id AS pid", "v AS w")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, ps = (unit @ unit.T).round(12), range(0, len(x), 50)
+    out = vectors.nearest_to_probes(rows, probes, "v", "w", 3).select("id", "pid").collect()
+    assert {tuple(r) for r in out} == {(i, p) for p in ps for i in sorted(range(len(x)), key=lambda i: (-cos[i, p], i))[:3]} and len(out) == 3 * len(ps)
+    out = vectors.nearest_probes(rows, probes, "v", "w", 2).select("id", "pid").collect()
+    assert {tuple(r) for r in out} == {(i, p) for i in range(len(x)) for p in sorted(ps, key=lambda p: (-cos[i, p], p))[:2]} and len(out) == 2 * len(x)
+    dim, blocks = vectors._blocks(probes.withColumnRenamed("pid", "__probe"), "w")
+    assert vectors._found(rows, "v", dim, blocks, True, 3, None).count() == 3 * len(ps)  # one stretch, however many parts its similarities have
+
+
+def test_similarities_in_memory_do_not_grow():
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.operators import vectors
+
+    r = np.random.default_rng(6)
+    asking, answers = (vectors._unit(r.normal(size=(8192, 16))) for _ in range(2))
+    tracemalloc.start()
+    try:
+        best = vectors._Best(len(asking), 5)
+        best.add(np.arange(len(asking)), asking, np.arange(len(answers)), answers)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(best.found()[0]) == 5 * len(asking)
