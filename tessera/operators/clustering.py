@@ -9,52 +9,52 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.operators import vectors
 from tessera.storage import settle
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _usable(df: DataFrame, vector: str) -> DataFrame:
+    """Rows of df whose vector is not null, empty or zero and holds no null or non-finite component."""
+    c = F.col(f"`{vector}`")
+    sound = F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return df.where(c.isNotNull() & (F.size(c) > 0) & sound & F.exists(c, lambda x: x != 0))
 
 
-def _unit(vector: Column) -> Column:
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(_dot(wide, wide))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
+def _lists_of(values: np.ndarray) -> pa.Array:
+    """A list a row of the matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
 
-def _usable(df: DataFrame, vector: str) -> DataFrame:
-    """df with unit vectors as __unit; rows whose vector is null, empty, zero or holds a null or non-finite component are left out."""
-    c = F.col(f"`{vector}`")
-    sound = c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    return df.where(sound).withColumn("__unit", _unit(c)).where("__unit is not null")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _units(column: pa.Array) -> pa.Array:
+    return _lists_of(vectors._usable(column, None, "a list's row")[1])
 
 
 def kmeans(df: DataFrame, vector: str, k: int, sample_rows: int = 100_000, seed: int = 1, rounds: int = 20) -> np.ndarray:
     """Centres of k clusters of the unit vectors (k rows at most), from about `sample_rows` rows."""
-    rows = _usable(df, vector).select("__unit")
+    rows = _usable(df, vector).select(F.col(f"`{vector}`").alias("vector"))
     share = min(1.0, sample_rows / max(1, rows.count()))
-    few = settle(rows.where(F.rand(seed) < share).limit(2 * sample_rows).select(array_to_vector("__unit").alias("features")), "sample")
+    few = settle(rows.where(F.rand(seed) < share).limit(2 * sample_rows).select(array_to_vector(_units("vector")).alias("features")), "sample")
     return np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(few).clusterCenters())
 
 
-def _nearest_lists(unit: Column, centres: np.ndarray, n: int) -> Column:
-    """Numbers of the n centres nearest to a unit vector, by distance; the centres, a vector a list, travel with the function."""
+def _nearest_lists(vector: str, centres: np.ndarray, n: int) -> Column:
+    """Numbers of the n centres nearest to a vector's unit vector, by distance; the centres, a vector a list, travel with the function."""
     squares = (centres * centres).sum(1)
 
-    @F.pandas_udf("array<int>")
-    def near(units: pd.Series) -> pd.Series:
-        if not len(units):
-            return pd.Series([], dtype=object)
-        far = squares - 2 * np.stack(units.to_numpy()) @ centres.T
-        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def near(column: pa.Array) -> pa.Array:
+        far = squares - 2 * vectors._usable(column, centres.shape[1], "a list's row")[1] @ centres.T
+        return _lists_of(np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32))
 
-    return near(unit)
+    return near(f"`{vector}`")
 
 
 @dataclass(frozen=True)
@@ -68,21 +68,16 @@ class InvertedLists:
 
 def inverted_lists(df: DataFrame, vector: str, lists: int, sample_rows: int = 100_000, seed: int = 1) -> InvertedLists:
     centres = kmeans(df, vector, lists, sample_rows, seed)
-    named = _usable(df, vector).withColumn("__list", F.get(_nearest_lists(F.col("__unit"), centres, 1), F.lit(0)))
+    named = _usable(df, vector).withColumn("__list", F.get(_nearest_lists(vector, centres, 1), F.lit(0)))
     return InvertedLists(settle(named, "lists"), centres, vector)
 
 
 def search(index: InvertedLists, probes: DataFrame, probe_vector: str, k: int, looked_at: int, suffix: str = "_probe") -> DataFrame:
     """For each probe the k nearest rows of its `looked_at` nearest lists: index columns, probe columns, similarity.
 
-    With all lists looked at the result is exact.  Probes meet rows by an equi-join on the list; equal similarities rank by the rows' other columns.
+    With all lists looked at the result is exact.  Each list's rows in a task meet the probes that look at it in one matrix product; equal
+    similarities rank by the rows' other columns.
     """
-    columns = [c for c in index.rows.columns if not c.startswith("__")]
-    names = {c: c + suffix if c in columns else c for c in probes.columns}
-    asked = _usable(probes, probe_vector).withColumn("__probe", F.monotonically_increasing_id())
-    asked = settle(asked.select("__probe", F.col("__unit").alias("__asked"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), "probes")
-    near = asked.select("__probe", "__asked", F.explode(_nearest_lists(F.col("__asked"), index.centres, looked_at)).alias("__list"))
-    found = index.rows.join(near, "__list").withColumn("similarity", _dot(F.col("__unit"), F.col("__asked")))
-    order = [F.desc("similarity"), *[F.col(f"`{c}`") for c in columns if c != index.vector]]
-    best = found.withColumn("__rank", F.row_number().over(Window.partitionBy("__probe").orderBy(*order))).where(F.col("__rank") <= k)
-    return best.select("__probe", *columns, "similarity").join(asked, "__probe").select(*columns, *names.values(), "similarity")
+    asked = _usable(probes, probe_vector)
+    asked = asked.withColumn("__lists", _nearest_lists(probe_vector, index.centres, looked_at))
+    return vectors.nearest_in_lists(index.rows, asked, index.vector, probe_vector, k, suffix)

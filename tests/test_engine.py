@@ -586,3 +586,23 @@ def test_similarities_in_memory_do_not_grow():
     finally:
         tracemalloc.stop()
     assert len(best.found()[0]) == 5 * len(asking)
+
+
+def test_a_search_meets_lists_in_products(spark):
+    import numpy as np
+
+    from tessera.operators import clustering
+
+    x = np.random.default_rng(7).normal(size=(900, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    probes = rows.where("id % 50 = 0").selectExpr("id AS pid", "v AS w")
+    index = clustering.inverted_lists(rows, "v", 6)
+    out = clustering.search(index, probes, "w", 4, 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = ((unit[:, None] - index.centres[None]) ** 2).sum(2).argsort(1)
+    assert {r.id: r["__list"] for r in index.rows.collect()} == dict(enumerate(far[:, 0]))
+    want = {(i, p) for p in range(0, len(x), 50) for i in sorted((i for i in range(len(x)) if far[i, 0] in far[p, :2]), key=lambda i: -(unit[i] @ unit[p]))[:4]}
+    found = out.select("id", "pid").collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (out, clustering._usable(rows, "v"))]
+    assert not any("zip_with" in p or "transform(" in p for p in plans) and "__list" not in "".join(x for x in plans[0].splitlines() if "Join" in x)
