@@ -151,17 +151,23 @@ def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) of a graph of (src, dst) edges after some rounds; ranks of nodes without out-edges are spread evenly.
 
-    Each round is a join on the source and a sum by target; every few rounds are settled in the shared folder.
+    Edges, out-degrees and nodes are settled once in the shared folder, and of each round what nodes with out-edges give along an edge and what targets
+    got.  So a round reads the edges once, joins them with what their sources give, which is broadcast while small, and sums by target.
     """
     edges = settle(edges.select("src", "dst").distinct(), "edges")
-    out = edges.groupBy("src").agg(F.count("*").alias("d"))
-    links = edges.join(out, "src")
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    n = nodes.count()
-    ranks = settle(nodes.withColumn("rank", F.lit(1.0 / max(1, n))), "ranks")
+    sources = settle(edges.groupBy("src").agg(F.count("*").alias("d")), "sources")
+    nodes = settle(sources.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), "nodes")
+    n = max(1, nodes.count())
+
+    def joined(rows: DataFrame, node: str, got: DataFrame | None, lost: float) -> DataFrame:
+        if got is None:
+            return rows.withColumn("rank", F.lit(1.0 / n))
+        rows = rows.join(got, F.col(node) == F.col("dst"), "left")
+        return rows.withColumn("rank", F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)))
+
+    got, lost = None, 0.0
     for _ in range(rounds):
-        given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("d")).alias("got"))
-        lost = 1.0 - (given.agg(F.sum("got")).first()[0] or 0.0)
-        ranks = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"))
-        ranks = settle(ranks, "ranks")
-    return ranks
+        gives = settle(joined(sources, "src", got, lost).select("src", (F.col("rank") / F.col("d")).alias("share")), "gives")
+        got = settle(edges.join(gives, "src").groupBy("dst").agg(F.sum("share").alias("got")), "got")
+        lost = 1.0 - (got.agg(F.sum("got")).first()[0] or 0.0)
+    return joined(nodes, "node", got, lost).select("node", "rank")

@@ -606,3 +606,28 @@ def test_a_search_meets_lists_in_products(spark):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
     plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (out, clustering._usable(rows, "v"))]
     assert not any("zip_with" in p or "transform(" in p for p in plans) and "__list" not in "".join(x for x in plans[0].splitlines() if "Join" in x)
+
+
+def test_a_round_of_pagerank_reads_the_edges_once(spark, monkeypatch):
+    from tessera.operators import algebra
+
+    settled, settle = [], algebra.settle
+
+    def noted(df, name="dataset"):
+        files = df.inputFiles() if settled else []
+        settled.append((name, df._jdf.queryExecution().optimizedPlan().toString(), files))
+        return settle(df, name)
+
+    monkeypatch.setattr(algebra, "settle", noted)
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 3), (4, 1), (3, 3), (4, 5)], "src long, dst long")
+    out = {x.node: x["rank"] for x in algebra.pagerank(edges, rounds=4).collect()}
+    pairs = sorted({tuple(r) for r in edges.collect()})
+    rank = dict.fromkeys(range(1, 6), 0.2)
+    for _ in range(4):
+        given = {v: sum(rank[s] / sum(a == s for a, _ in pairs) for s, d in pairs if d == v) for v in rank}
+        rank = {v: 0.15 / 5 + 0.85 * (given[v] + (1 - sum(given.values())) / 5) for v in rank}
+    assert out == pytest.approx(rank)
+    readers = [sum("/edges-" in f for f in {x.rpartition("/")[0] for x in files}) for _, _, files in settled]
+    assert sum(readers) == 2 + 4  # out-degrees, nodes, rounds
+    assert max(plan.count("Join") for _, plan, _ in settled) == 1  # out-degrees are not joined to edges again
+    assert {x.node: x["rank"] for x in algebra.pagerank(edges, rounds=0).collect()} == dict.fromkeys(range(1, 6), 0.2)
